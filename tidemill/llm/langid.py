@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import id_text, map_chunks
+from tidemill.session import ship
 
 DIMS = 4096
 SAMPLE = 400
@@ -113,14 +114,20 @@ def train(docs: DataFrame, use: Column | None = None, sample: int = SAMPLE, cent
     if not sizes:
         return Model(np.ones(DIMS), [], np.zeros((0, DIMS)), np.zeros(0, int), np.zeros(0))
 
-    def frequencies(part: pa.RecordBatch) -> pa.RecordBatch:
-        counts, n = gram_counts(part.column("text").to_pylist())
-        df = (counts > 0).sum(axis=0)
-        return pa.RecordBatch.from_arrays([pa.array([int((n > 0).sum())], pa.int64()), pa.array([df.tolist()], pa.list_(pa.int64()))], ["n", "df"])
+    ship(docs.sparkSession)
 
-    # one row of counts a chunk, summed by place in the JVM
-    parts = map_chunks(rows.select("text"), frequencies, "n long, df array<long>")
-    summed = parts.select(F.posexplode(F.concat(F.array("n"), F.col("df")))).groupBy("pos").agg(F.sum("col").alias("n")).collect()
+    def frequencies(batches):
+        n, df = 0, np.zeros(DIMS, np.int64)
+        for batch in batches:
+            for k in range(0, len(batch), 64):
+                counts, letters_of = gram_counts(batch.column("text").slice(k, 64).to_pylist())
+                n += int((letters_of > 0).sum())
+                df += (counts > 0).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([[n, *df.tolist()]], pa.list_(pa.int64()))], ["df"])
+
+    # one row of counts a task, summed by place in the JVM
+    parts = rows.select("text").mapInArrow(frequencies, "df array<long>")
+    summed = parts.select(F.posexplode("df")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
     total = np.zeros(DIMS + 1)
     for r in summed:
         total[r["pos"]] = r["n"]
@@ -163,8 +170,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
     """The documents, with all their columns, that the model doesn't reject; a row's own text decides."""
-    from tidemill.session import ship
-
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
