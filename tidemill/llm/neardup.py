@@ -5,12 +5,15 @@ representative gets two families of `m` small minhash tuples of `R` values each;
 first family with one of the second, so m * m tables cost 2 * m tuples. A pair of similarity s meets in no table with a
 probability of at most 2 * (1 - s**R)**m; m is chosen so that this is at most `MISS` at the threshold.
 
-The m tables on the diagonal come first; then all the others, for which keys are made only from tuples that two
-components still share. Tables are worked off in rounds: every mixed bucket's next few members (its hubs; each
-round takes four times as many) meet the bucket's members of other components; pairs are confirmed on the full sets,
-confirmed links are merged into components, and buckets whose members are all in one component are done. Rounds
-go on until no bucket is left, so for every pair that meets in a table either the pair has been confirmed, or
-its two ends are connected already: no caps, and no expansion of a group of copies into all its pairs.
+The m tables on the diagonal come first, in a quick round: each bucket's members meet its least one, pairs are
+confirmed on the full sets, and confirmed links are merged into components. Then come all tables, with keys made only
+from tuples that two components still share, and of these only the buckets that hold two components. Of a bucket of up
+to `SMALL` members all pairs of different components are confirmed. The members of larger buckets, which are mostly
+documents that share a passage, are joined exactly by prefix filtering: shingles are ordered by their frequency among
+these documents, rarest first; linked documents have to share one in their first n - ceil(t * n) + 1, and the
+place of the first that they share bounds their intersection. These rarer buckets are first met by one hub each, then
+by all pairs that the bound leaves. So for every pair that meets in a table, the pair has been confirmed or ruled out,
+or its two ends are connected already: no caps, and no expansion of a group of copies into all its pairs.
 
 Defined results: documents without words (or text) have no shingles and are alone; a document of fewer words than
 a shingle has one shingle, the whole sequence; rows with one doc_id are one document, linked where any of them is;
@@ -26,14 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import GOLDEN, id_text, map_chunks, mix64
+from tidemill.llm.common import GOLDEN, id_text, join_skewed, map_chunks, mix64
 from tidemill.llm.decontam import LOWER, Words
 from tidemill.session import cut
 
-R = 3
+R = 4
 MISS = 2e-5
-#: Hubs of a bucket in the first round over all tables.
-HUBS = 2
+#: Members of a bucket up to which all its pairs of different components are confirmed.
+SMALL = 16
+#: Most rows of one or two ids that are broadcast for a join; beyond it both sides are shuffled.
+BROADCAST_ROWS = 1 << 20
 
 NOT_BLANK = np.ones(256, bool)
 NOT_BLANK[[32, *range(9, 14)]] = False
@@ -73,13 +78,15 @@ def sketches(h: np.ndarray, sizes: np.ndarray, m: int) -> np.ndarray:
         return out
     starts = (np.cumsum(sizes) - sizes)[full]
     rng = np.random.default_rng(20240229)
-    factors = rng.integers(0, 1 << 63, 2 * m * R, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    shifts = rng.integers(0, 1 << 63, 2 * m * R, dtype=np.uint64)
+    factors = rng.integers(0, 1 << 31, 2 * m * R, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    shifts = rng.integers(0, 1 << 32, 2 * m * R, dtype=np.uint32)
+    half = (h >> np.uint64(32)).astype(np.uint32)
+    x = np.empty_like(half)
     for t in range(2 * m):
         acc = np.full(len(full), t + 1, np.uint64)
         for i in range(t * R, t * R + R):
-            x = (h ^ shifts[i]) * factors[i]
-            acc = acc * np.uint64(GOLDEN) + mix64(np.minimum.reduceat(x ^ (x >> np.uint64(32)), starts))
+            np.multiply(np.bitwise_xor(half, shifts[i], out=x), factors[i], out=x)
+            acc = acc * np.uint64(GOLDEN) + np.minimum.reduceat(x, starts)
         out[full, t] = mix64(acc)
     return out
 
@@ -101,8 +108,8 @@ def set_table(docs: DataFrame, k: int, m: int) -> DataFrame:
 
 
 def parts_of(reps: DataFrame) -> DataFrame:
-    """rep, n, t, value: one row for each tuple."""
-    return reps.select("rep", "n", F.posexplode("tuples").alias("t", "value"))
+    """rep, n, comp, t, value: one row for each tuple."""
+    return reps.select("rep", "n", "comp", F.posexplode("tuples").alias("t", "value"))
 
 
 def mixed(table: DataFrame, by: list[str], label: str) -> DataFrame:
@@ -117,20 +124,23 @@ def diagonal(reps: DataFrame, m: int) -> DataFrame:
     return keys.join(mixed(keys, ["key"], "rep"), "key")
 
 
-def tensored(reps: DataFrame, labels: DataFrame, m: int) -> DataFrame:
+def tensored(reps: DataFrame, labels: DataFrame, m: int, small: bool) -> DataFrame:
     """key, rep, n: the tables of all pairs of tuples, where two components meet. Only a tuple that two components have
     can be in such a key."""
-    parts = parts_of(reps).join(labels, "rep")
+    named = reps.join(lookup(labels, small), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    parts = parts_of(named)
     shared = mixed(parts, ["t", "value"], "comp")
     live = parts.join(shared, ["t", "value"]).groupBy("rep", "n", "comp").agg(F.collect_list(F.struct("t", "value")).alias("live"))
     left, right = F.filter("live", lambda x: x["t"] < m), F.filter("live", lambda x: x["t"] >= m)
     both = live.where((F.size(left) > 0) & (F.size(right) > 0)).select("rep", "n", "comp", left.alias("left"), right.alias("right"))
     keys = cut(both).select("rep", "n", "comp", F.explode("left").alias("l"), "right").select("rep", "n", "comp", "l", F.explode("right").alias("r"))
     keys = keys.select("rep", "n", "comp", F.xxhash64("l.t", "l.value", "r.t", "r.value").alias("key"))
-    members = cut(keys.join(mixed(keys, ["key"], "comp"), "key").select("key", "rep", "n"))
-    # buckets with the same members, as groups of copies have them in many tables, are one bucket
-    digest = members.groupBy("key").agg(F.count("*").alias("_c"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("_s"), F.min("rep").alias("_m"))
-    return members.join(digest.groupBy("_c", "_s", "_m").agg(F.min("key").alias("key")).select("key"), "key")
+    return cut(keys.join(mixed(keys, ["key"], "comp"), "key").select("key", "rep", "n"))
+
+
+def lookup(table: DataFrame, small: bool) -> DataFrame:
+    """A table of ids for a join: broadcast, if it has been counted to have at most BROADCAST_ROWS rows."""
+    return F.broadcast(table) if small else table
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -139,30 +149,36 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     Minimum-label propagation over the graph of components with pointer jumping; only the components that links touch
     take part, and each step's table is cut in the shared folder.
     """
-    if links.limit(1).count() == 0:
+    n = links.count()
+    if not n:
         return labels
-    la, lb = (labels.select(F.col("rep").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
-    edges = links.join(la, "a").join(lb, "b").where("ca != cb").select("ca", "cb").distinct()
-    both = cut(edges.union(edges.select("cb", "ca")).toDF("u", "v").distinct())
+    small = 2 * n <= BROADCAST_ROWS
+    # only the links' ends are looked up, so the labels are filtered by them and not the other way round
+    ends = links.select(F.explode(F.array("a", "b")).alias("rep"))
+    near = labels.join(lookup(ends.distinct(), small), "rep", "left_semi")
+    la, lb = (near.select(F.col("rep").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
+    edges = links.join(lookup(la, small), "a").join(lookup(lb, small), "b").where("ca != cb").select(F.explode(F.array(F.struct(F.col("ca").alias("u"), F.col("cb").alias("v")), F.struct(F.col("cb").alias("u"), F.col("ca").alias("v")))).alias("e"))
+    both = cut(edges.select("e.*").distinct())
     nodes = cut(both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("p")))
     while True:
         # the least label among a node's own and its neighbours', then that label's own label
-        near = both.join(nodes.select(F.col("u").alias("v"), F.col("p").alias("q")), "v").groupBy("u").agg(F.min("q").alias("q"))
-        step = nodes.join(near, "u").select("u", F.least("p", "q").alias("n"), "p")
+        asked = both.join(lookup(nodes.select(F.col("u").alias("v"), F.col("p").alias("q")), small), "v").select("u", "q", F.lit(None).cast(nodes.schema["p"].dataType).alias("p"))
+        every = asked.unionByName(nodes.select("u", F.col("p").alias("q"), "p"))
+        step = cut(every.groupBy("u").agg(F.min("q").alias("n"), F.min("p").alias("p")))
         jump = step.select(F.col("u").alias("n"), F.col("n").alias("nn"))
-        after = cut(step.join(jump, "n", "left").select("u", F.least("n", F.coalesce("nn", "n")).alias("n"), "p"))
+        after = step.join(lookup(jump, small), "n", "left").select("u", F.least("n", F.coalesce("nn", "n")).alias("n"), "p")
+        after = after if small else cut(after)
         moved = after.where("n != p").limit(1).count()
         nodes = after.select("u", F.col("n").alias("p"))
         if not moved:
             break
-    moved = nodes.select(F.col("u").alias("comp"), "p")
-    return labels.join(moved, "comp", "left").select("rep", F.coalesce("p", "comp").alias("comp"))
+    roots = nodes.select(F.col("u").alias("comp"), "p")
+    return labels.join(lookup(roots, small), "comp", "left").select("rep", F.coalesce("p", "comp").alias("comp"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union. docs: rep, text."""
+def full_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """rep, set: the shingle sets of the documents in `ids` (rep), as sorted 64-bit hashes. docs: rep, text."""
     kind = docs.schema["rep"].dataType.simpleString()
-    touched = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
 
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
         h, sizes = shingle_sets(part.column("text"), k)
@@ -170,8 +186,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
         at = (8 * np.r_[0, np.cumsum(sizes)]).tolist()
         return pa.RecordBatch.from_arrays([part.column("rep"), pa.array([raw[i:j] for i, j in zip(at, at[1:], strict=False)], pa.binary())], ["rep", "set"])
 
-    sets = map_chunks(docs.join(touched, "rep", "left_semi"), kernel, f"rep {kind}, set binary")
-    sets = cut(sets)
+    ids = cut(ids.distinct())
+    small = ids.count() <= BROADCAST_ROWS
+    # partitioned and sorted once for all the joins by rep that follow
+    sets = map_chunks(docs.join(lookup(ids, small), "rep", "left_semi"), kernel, f"rep {kind}, set binary")
+    return cut(sets.repartition("rep").sortWithinPartitions("rep"))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
+    kind = sets.schema["rep"].dataType.simpleString()
     joined = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b")
 
     def test(batches):
@@ -188,30 +212,79 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return joined.select("a", "b", "sa", "sb").mapInArrow(test, f"a {kind}, b {kind}")
 
 
-def resolved(table: DataFrame, labels: DataFrame, done: DataFrame | None, texts: DataFrame, k: int, percent: int, width: int) -> tuple[DataFrame, DataFrame | None]:
-    """Labels after confirming the pairs that meet in `table` (key, rep, n), and all pairs tested so far.
+class Linker:
+    """Labels (rep, comp) of representatives, made coarser by confirming pairs; no pair is tested twice."""
 
-    A round's hubs are each mixed bucket's next `width` members, of the components with the fewest members there first.
-    They meet the bucket's members of other components, and leave the bucket.
-    """
-    while True:
-        now = table.join(labels, "rep")
-        left = cut(now.join(mixed(now, ["key"], "comp"), "key").select("key", "rep", "n", "comp"))
-        if left.limit(1).count() == 0:
-            return labels, done
-        counted = left.join(left.groupBy("key", "comp").agg(F.count("*").alias("_in")), ["key", "comp"])
-        place = F.row_number().over(Window.partitionBy("key").orderBy("_in", "rep", "n"))
-        hub = counted.withColumn("_at", place).where(F.col("_at") <= width).select("key", F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("comp").alias("hcomp"))
-        hub = cut(hub)
-        met = left.join(hub, "key").where("rep != hub and comp != hcomp").where(100 * F.least("n", "hn") >= percent * F.greatest("n", "hn"))
-        pairs = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+    def __init__(self, labels: DataFrame, percent: int):
+        self.percent, self.done = percent, None
+        self.relabel(labels)
+
+    def relabel(self, labels: DataFrame) -> None:
+        self.labels, self.small = labels, labels.count() <= BROADCAST_ROWS
+
+    def undecided(self, table: DataFrame) -> DataFrame:
+        """The rows of `table` (key, rep, ...) with their components, in buckets that hold two at least."""
+        now = table.join(lookup(self.labels, self.small), "rep")
+        return cut(now.join(mixed(now, ["key"], "comp"), "key"))
+
+    def confirm(self, met: DataFrame, sets: DataFrame) -> None:
+        """Test pairs (rep, other, n, m) whose sizes allow a link."""
+        allowed = met.where(100 * F.least("n", "m") >= self.percent * F.greatest("n", "m"))
+        pairs = allowed.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+        if self.done is not None:
+            pairs = pairs.join(self.done, ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        labels = cut(merged(labels, cut(confirmed(pairs, texts, k, percent))))
-        done = pairs if done is None else done.unionByName(pairs)
-        table = left.drop("comp").join(hub.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti")
-        width *= 4
+        self.labels = cut(merged(self.labels, cut(confirmed(pairs, sets, self.percent))))
+        self.done = pairs if self.done is None else self.done.unionByName(pairs)
+
+    def star(self, table: DataFrame, sets: DataFrame, first) -> None:
+        """Every undecided bucket's members meet the member that is least by the column `first`."""
+        left = self.undecided(table)
+        hubs = left.groupBy("key").agg(F.min(F.struct(first.alias("_o"), F.col("rep").alias("other"), F.col("n").alias("m"), F.col("comp").alias("_c"), *self.places(left, "_j"))).alias("h")).select("key", "h.*")
+        self.confirm(self.within(left.join(hubs, "key").where("comp != _c")), sets)
+
+    def every_pair(self, table: DataFrame, sets: DataFrame) -> None:
+        """All pairs of different components in every undecided bucket."""
+        left = self.undecided(table)
+        right = left.select("key", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("comp").alias("_c"), *self.places(left, "_j"))
+        bound = self.bound if "i" in left.columns else F.lit(True)
+        met = left.join(right, (left["key"] == right["key"]) & (F.col("rep") < F.col("other")) & (F.col("comp") != F.col("_c")) & bound)
+        self.confirm(met.select("rep", "other", "n", "m"), sets)
+
+    @staticmethod
+    def places(left: DataFrame, to: str) -> list:
+        return [F.col("i").alias(to)] if "i" in left.columns else []
+
+    @property
+    def bound(self):
+        """What the places of the first shared shingle leave of the intersection has to be enough for a link."""
+        return (100 + self.percent) * F.least(F.col("n") - F.col("i"), F.col("m") - F.col("_j")) >= self.percent * (F.col("n") + F.col("m"))
+
+    def within(self, met: DataFrame) -> DataFrame:
+        return met.where(self.bound) if "_j" in met.columns else met
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """key, rep, n, i: the shingles in each set's prefix that two sets have at least, with their place in the set, when
+    every set is ordered by (frequency among these sets, hash)."""
+    kind = sets.schema["rep"].dataType.simpleString()
+
+    def explode(batches):
+        for batch in batches:
+            for k in range(0, len(batch), 512):
+                part = batch.slice(k, 512)
+                raw = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("set")]
+                sizes = np.array([len(x) for x in raw], np.int64)
+                rows = np.repeat(np.arange(len(raw)), sizes)
+                yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(rows)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(raw))], ["rep", "n", "key"])
+
+    rows = sets.mapInArrow(explode, f"rep {kind}, n long, key long")
+    shared = cut(rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
+    met = join_skewed(rows, shared, ["key"], "df")
+    order = Window.partitionBy("rep").orderBy("df", "key")
+    # the n - count shingles that no other set has come first
+    placed = met.withColumn("i", F.col("n") - F.count("*").over(Window.partitionBy("rep")) + F.row_number().over(order) - 1)
+    return placed.where(100 * F.col("i") <= 100 * F.col("n") - F.ceil(F.col("n") * percent / 100) * 100).select("key", "rep", "n", "i")
 
 
 def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -221,15 +294,25 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     m = tuples_for(percent / 100)
     sets = cut(set_table(docs, k, m))
     some = sets.where("n_shingles > 0")
-    classes = cut(some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")))
+    classes = cut(some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows")))
     reps = some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
     reps = cut(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "tuples"))
     texts = docs.withColumnRenamed("doc_id", "rep").select("rep", "text")
-    labels = reps.select("rep", F.col("rep").alias("comp")).distinct()
-    labels, done = resolved(diagonal(reps, m), labels, None, texts, k, percent, 1)
-    labels, _ = resolved(tensored(reps, labels, m), labels, done, texts, k, percent, HUBS)
-    member = some.join(classes, ["s1", "s2", "n_shingles"]).select("doc_id", "n_shingles", "rep")
-    named = member.join(labels, "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
+    first = cut(diagonal(reps, m))
+    linker = Linker(cut(first.select("rep", F.col("rep").alias("comp")).distinct()), percent)
+    linker.star(first, full_sets(first.select("rep"), texts, k), F.col("rep"))
+    second = tensored(reps, linker.labels, m, linker.small)
+    fresh = second.select("rep", F.col("rep").alias("comp")).distinct().join(lookup(linker.labels, linker.small), "rep", "left_anti")
+    linker.relabel(cut(linker.labels.unionByName(fresh)))
+    sets2 = full_sets(second.select("rep"), texts, k)
+    sizes = cut(second.groupBy("key").agg(F.count("*").alias("_size")))
+    linker.every_pair(second.join(sizes.where(F.col("_size") <= SMALL).select("key"), "key"), sets2)
+    large = second.join(sizes.where(F.col("_size") > SMALL).select("key"), "key").select("rep").distinct()
+    rare = cut(prefixes(sets2.join(large, "rep", "left_semi"), percent))
+    linker.star(rare, sets2, F.xxhash64("key", "rep"))
+    linker.every_pair(rare, sets2)
+    member = join_skewed(some, classes, ["s1", "s2", "n_shingles"], "n_rows").select("doc_id", "n_shingles", "rep")
+    named = member.join(lookup(linker.labels, linker.small), "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
     alone = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return named.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
