@@ -1,7 +1,7 @@
 """Language ID by nearest centroid.
 
 A text's vector holds the hashed counts of its character 1-, 2- and 3-grams (lower case, everything but letters as
-one blank), damped by a logarithm, weighted by inverse document frequency over all training documents, and normalised.
+one blank, words with digits left out), damped by a logarithm, weighted by inverse document frequency over all training documents, and normalised.
 Each language has several centroids, clustered by spherical k-means from a bounded sample; a text takes the
 language of the centroid with the highest cosine. It is rejected if it has no letter, or if that cosine is less
 than a share of the least that the language's own sample reaches.
@@ -26,7 +26,7 @@ DIMS = 4096
 SAMPLE = 400
 CENTROIDS = 4
 #: A text is rejected under this share of the least cosine that its language's own sample reaches.
-FLOOR = 0.4
+FLOOR = 0.25
 
 _letters: list[np.ndarray] = []
 
@@ -48,6 +48,7 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         n_letters[i] = is_letter.sum()
         if not n_letters[i]:
             continue
+        is_letter = in_words(c, is_letter)
         keep = is_letter.copy()
         keep[1:] |= is_letter[:-1]
         keep[0] = True  # one blank between words
@@ -59,6 +60,19 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, n_letters
 
 
+def in_words(c: np.ndarray, is_letter: np.ndarray) -> np.ndarray:
+    """The letters without those of runs of letters and digits that hold a digit (keys, numbers, codes), unless there
+    are no others."""
+    digit = (c >= 48) & (c <= 57)
+    if not digit.any():
+        return is_letter
+    inside = is_letter | digit
+    run = np.cumsum(inside & ~np.r_[False, inside[:-1]])
+    coded = np.bincount(run, digit, int(run[-1]) + 1) > 0
+    rest = is_letter & ~coded[run]
+    return rest if rest.any() else is_letter
+
+
 def hashed(grams: np.ndarray) -> np.ndarray:
     """A cheap mix of at most 63 bits into the low ones."""
     x = grams * np.uint64(0x9E3779B97F4A7C15)
