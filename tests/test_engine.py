@@ -71,6 +71,14 @@ def test_dedupe_needs_little_memory_for_a_hot_key(spark):
     assert dedupe.windowed(log, 1000).where("not duplicate").count() == 67
 
 
+def test_bloom_diagnostics_golden(spark):
+    rows = [("a", "m1", 0), ("a", "m2", 999), ("a", "m3", 1000), ("a", "m4", 1999), ("b", "m5", 1999), ("a", "m6", 2000)]
+    log = spark.createDataFrame([(i, t, m, k) for i, (k, m, t) in enumerate(rows)], "seq long, now_ms long, id string, dedupe_key string")
+    r = dedupe.diagnostics(log, Dedupe(1000)).first()
+    assert (r["checked"], r["duplicates"], r["evicted"], r["tracked_keys"], r["false_positives"], r["observed_rate"], r["bloom_bytes"]) == (6, 2, 2, 2, 1, 0.25, 119_814)
+    assert dedupe.diagnostics(log.limit(0), Dedupe(1000)).count() == 0
+
+
 def test_hash_vectors(spark):
     rows = spark.createDataFrame([("",), ("a",), ("foobar",), (None,)], "s string").select("s", hashing.fnv1a(F.col("s")).alias("f"), hashing.djb2(F.col("s")).alias("d")).collect()
     assert [(r["f"], r["d"]) for r in rows[:3]] == [(2166136261, 5381), (0xE40C292C, 177670), (0xBF9CF968, 4259602622)]
@@ -92,6 +100,11 @@ def test_journal_is_the_machines_log(spark):
     got = [tuple(r) for r in log.orderBy("queue", "seq", "n").select("queue", "seq", "n", "event", "id", "reason").collect()]
     assert got == sorted(want, key=lambda x: x[:3])
     waiting = {(r["queue"], r["lane"]): r["waiting"] for r in journal.lane_balance(log).collect() if r["lane"] in ("a", "b")}
+    stats = {r["queue"]: r for r in journal.queue_stats(log, CONFIG.lanes).collect()}
+    for q, m in machines.items():
+        assert stats[q]["depth_by_lane"] == {x: m.depth(x) for x in m.lanes}
+        at = m.conservation()
+        assert (stats[q]["total_depth"], stats[q]["in_flight"], stats[q]["dead_letters"]) == (at["waiting"], at["in_flight"], at["dead"])
     assert waiting == {(q, x): m.depth(x) for q, m in machines.items() for x in m.lanes}
     assert journal.dead_letters(log).count() == log.where("event = 'dead'").count() > 0
     assert journal.outcomes(log).count() == len({(w[0], w[1]) for w in want})

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.config import Dedupe
+from tidemill.operators.machine import Seen
 from tidemill.session import ship
 
 RESULT = "seq long, now_ms long, dedupe_key string, id string, duplicate boolean, original_id string, original_age_ms long, anchor_ms long"
@@ -99,6 +101,53 @@ def windowed_native(log: DataFrame, window_ms: int) -> DataFrame:
     )
 
 
+def original_by_range(log: DataFrame, accepted: DataFrame, window_ms: int) -> DataFrame:
+    """The accepted message in whose window each message of `log` lies: a range join (anchor <= time < anchor + window).
+
+    Time is cut into buckets of a window's length, so an anchor concerns two buckets and the join is by (key, bucket): a
+    hot key is spread over its buckets, and nothing is compared beyond a window.
+    """
+    bucket = lambda c: F.floor(c / window_ms).cast("long")
+    anchors = accepted.select("dedupe_key", F.col("now_ms").alias("anchor_ms"), F.col("seq").alias("anchor_seq"), F.col("id").alias("original_id"))
+    first = bucket(F.col("anchor_ms"))
+    anchors = anchors.withColumn("bucket", F.explode(F.array(first, first + 1)))
+    rows = log.select("seq", "now_ms", "dedupe_key", F.col("id").cast("string").alias("id")).withColumn("bucket", bucket(F.col("now_ms")))
+    met = rows.join(anchors, ["dedupe_key", "bucket"]).where((F.col("anchor_ms") <= F.col("now_ms")) & (F.col("now_ms") < F.col("anchor_ms") + window_ms) & (F.col("anchor_seq") <= F.col("seq")))
+    return met.select("seq", "id", "dedupe_key", "original_id", (F.col("now_ms") - F.col("anchor_ms")).alias("original_age_ms"))
+
+
+DIAGNOSTICS = (
+    "queue string, checked long, duplicates long, duplicate_rate double, tracked_keys long, evicted long, configured_rate double, "
+    "skip_rate double, false_positives long, observed_rate double, bloom_bytes long, oversaturated boolean"
+)
+
+
+def diagnostics(log: DataFrame, config: Dedupe, queue: str | None = None) -> DataFrame:
+    """One row a queue: the counters of dedupe with its bloom filter, which never changes what is a duplicate. The filter's
+    history runs over all keys, so a queue's checks are folded in one order."""
+    ship(log.sparkSession)
+    names = [c.split()[0] for c in DIAGNOSTICS.split(", ")]
+    key = F.col(queue) if queue else F.lit("all")
+    rows = log.where(F.col("dedupe_key").isNotNull()).select(key.cast("string").alias("queue"), "seq", "now_ms", "dedupe_key", F.col("id").cast("string").alias("id"))
+
+    def run(batches):
+        current, seen, out = None, None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if seen is None or r["queue"] != current:
+                    if seen is not None:
+                        out.append({"queue": current} | seen.report())
+                    current, seen = r["queue"], Seen(config, diagnostics=True)
+                seen.check(r["dedupe_key"], r["id"], r["now_ms"])
+        if seen is not None:
+            out.append({"queue": current} | seen.report())
+        yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in out], schema)
+
+    kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+    schema = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in DIAGNOSTICS.split(", "))])
+    return rows.repartition("queue").sortWithinPartitions("queue", "seq").mapInArrow(run, DIAGNOSTICS)
+
+
 def evictions(results: DataFrame, window_ms: int) -> DataFrame:
     """One row: accepted, evicted, tracked keys after the last check, for times that never fall and no forgotten keys."""
     keyed = results.where(F.col("dedupe_key").isNotNull())

@@ -89,3 +89,24 @@ def lane_balance(journal: DataFrame) -> DataFrame:
     """queue, lane, waiting: messages that went in less those that went out."""
     change = F.when(F.col("event").isin("enqueued", "requeued", "replayed"), 1).when(F.col("event") == "claimed", -1).otherwise(0)
     return journal.groupBy("queue", "lane").agg(F.sum(change).cast("long").alias("waiting")).where(F.col("lane").isNotNull())
+
+
+def queue_stats(journal: DataFrame, lanes: list[str]) -> DataFrame:
+    """One row a queue after its last command: depth_by_lane (declared lanes, zeros too), total_depth, in_flight,
+    dead_letters, unknown_outcomes (of all dead letters ever), selections_by_lane, overrides, selections."""
+    event, n = F.col("event"), lambda cond: F.count_if(cond)
+    into, out = event.isin("enqueued", "requeued", "replayed"), event == "claimed"
+    depth = [(n(into & (F.col("lane") == x)) - n(out & (F.col("lane") == x))).alias(f"d{i}") for i, x in enumerate(lanes)]
+    chosen = [n((event == "selected") & (F.col("lane") == x)).alias(f"s{i}") for i, x in enumerate(lanes)]
+    rows = journal.groupBy("queue").agg(
+        *depth,
+        *chosen,
+        (n(out) - n(event == "released")).alias("in_flight"),
+        (n(event == "dead") - n(event.isin("replayed", "dropped"))).alias("dead_letters"),
+        n((event == "dead") & F.col("unknown")).alias("unknown_outcomes"),
+        n((event == "selected") & (F.col("reason") == "starvation_override")).alias("overrides"),
+        n(event == "selected").alias("selections"),
+    )
+    as_map = lambda p: F.create_map(*[c for i, x in enumerate(lanes) for c in (F.lit(x), F.col(f"{p}{i}"))])
+    total = sum((F.col(f"d{i}") for i in range(1, len(lanes))), F.col("d0"))
+    return rows.select("queue", as_map("d").alias("depth_by_lane"), total.alias("total_depth"), "in_flight", "dead_letters", "unknown_outcomes", as_map("s").alias("selections_by_lane"), "overrides", "selections")

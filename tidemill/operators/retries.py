@@ -48,14 +48,23 @@ def due(messages: DataFrame, now_ms: int) -> DataFrame:
     return messages.where(F.col("enqueued_at_ms") + F.coalesce("delay_ms", F.lit(0)) <= now_ms)
 
 
-def pressure_edges(depths: DataFrame, max_depth: int) -> DataFrame:
-    """Extension: where a lane's depth goes over `max_depth` or back; depths: lane, bucket_ms, depth."""
+def pressure_edges(depths: DataFrame, max_depth: int, max_lag_ms: int | None = None) -> DataFrame:
+    """Extension: where a lane's depth goes over `max_depth` (or its head's lag over `max_lag_ms`) or back; depths: lane,
+    bucket_ms, depth (and lag_ms)."""
     window = Window.partitionBy("lane").orderBy("bucket_ms")
-    flagged = depths.withColumn("pressed", F.col("depth") > max_depth)
+    pressed = F.col("depth") > max_depth
+    if max_lag_ms is not None:
+        pressed = pressed | (F.coalesce("lag_ms", F.lit(0)) > max_lag_ms)
+    flagged = depths.withColumn("pressed", pressed)
     was = F.coalesce(F.lag("pressed").over(window), F.lit(False))
     return flagged.withColumn("_was", was).where("pressed != _was").select("lane", "bucket_ms", "depth", F.when(F.col("pressed"), "pressed").otherwise("relieved").alias("edge"))
 
 
+def throttled(edges: DataFrame) -> DataFrame:
+    """Extension: lane, throttle: whether each lane's last edge left it pressed."""
+    return edges.groupBy("lane").agg((F.max_by("edge", "bucket_ms") == "pressed").alias("throttle"))
+
+
 def assigned(members: DataFrame, partitions: DataFrame, old: DataFrame) -> DataFrame:
     """Extension: partition, member after a change of the group, moving only what has to move.
 

@@ -113,6 +113,20 @@ def dedupe_key_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.key_report(_log(spark, sf_dir, DAY))
 
 
+@query(f"WITH {folded(DAY)} SELECT seq, id, k AS dedupe_key, original AS original_id, now_ms - anchor AS original_age_ms FROM f")
+def dedupe_original_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message (anchors too) finds its anchor by a range join with the accepted ones."""
+    log = adapters.enqueue_log(spark, sf_dir)
+    return dedupe.original_by_range(log, dedupe.windowed(log, DAY).where("not duplicate"), DAY)
+
+
+@query(f"WITH {folded(HOUR)} SELECT 'all' AS queue, count(*) AS checked, count(*) FILTER (duplicate) AS duplicates, round(count(*) FILTER (duplicate) / count(*), 12) AS duplicate_rate, (SELECT count(*) FROM f WHERE NOT duplicate AND anchor + {HOUR} > (SELECT max(now_ms) FROM f)) AS tracked_keys, CAST(119814 AS BIGINT) AS bloom_bytes, false AS oversaturated FROM f")
+def dedupe_bloom_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that SQL can say; the filter's own counters are tested against a golden scenario."""
+    out = dedupe.diagnostics(adapters.enqueue_log(spark, sf_dir), Dedupe(HOUR))
+    return out.select("queue", "checked", "duplicates", F.round("duplicate_rate", 12).alias("duplicate_rate"), "tracked_keys", "bloom_bytes", "oversaturated")
+
+
 # bloom filter
 
 SIZES = [(100_000, 0.01), (1000, 0.01), (10, 0.5), (100_000, 1e-9), (0, 0.9)]
@@ -515,6 +529,12 @@ def queue_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.event_counts(journal.replayed(queue_commands(spark, sf_dir), QUEUE))
 
 
+@query()
+def queue_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = journal.queue_stats(journal.replayed(queue_commands(spark, sf_dir), QUEUE), QUEUE.lanes)
+    return out.withColumns({c: F.to_json(c) for c in ("depth_by_lane", "selections_by_lane")})
+
+
 # documented extensions
 
 
@@ -548,6 +568,12 @@ def backpressure_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retries.pressure_edges(hours, 3)
 
 
+@query(f"""WITH {EV}, d AS (SELECT lane, now_ms // {HOUR} * {HOUR} AS bucket_ms, count(*) AS depth FROM ev GROUP BY ALL)
+SELECT lane, arg_max(depth > 3, bucket_ms) AS throttle FROM d GROUP BY lane HAVING bool_or(depth > 3)""")
+def backpressure_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retries.throttled(backpressure_edges(spark, sf_dir))
+
+
 def _groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A group of the even nations becomes that of the nations whose number isn't divisible by three; suppliers are dealt."""
     nations = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("member"))
