@@ -2,8 +2,8 @@
 
 Every document's distinct line keys are exploded as 128-bit hashes and aggregated by hash (with map-side partial
 aggregation, so a line in a third of all documents is one row a task): the least doc_id and whether the documents
-are at least `min_docs`. Only hashes over the threshold go back, in a skew-splittable join, to the (document, hash)
-pairs; the documents that lose lines are then reassembled in line order.
+are at least `min_docs`. Only hashes over the threshold go back to the (document, hash) pairs, those of very frequent
+lines by broadcast (there are ten thousand at most); the documents that lose lines are then reassembled in line order.
 
 Defined results: a null or empty text is one empty line, which is too short to be a key; rows with one doc_id are one
 document; repeated lines in the keeping document stay; empty tables give no rows; other columns ride along in `dedup`.
@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import chunks, id_text, map_chunks
-from tidemill.session import ship
+from tidemill.llm.common import chunks, id_text, join_skewed, map_chunks
+from tidemill.session import cut, ship
 
 #: What is stripped from both ends of a line.
 BLANK = " \t\n\x0b\x0c\r"
@@ -47,12 +47,15 @@ def line_keys(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
 
 def drops(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int = 2) -> DataFrame:
     """doc_id, drop array<binary>: the keys whose lines go, for the documents that have any. `docs`: doc_id, text."""
-    keys = line_keys(docs, min_length)
-    if min_docs <= 2:
-        common = keys.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("_last")).where("keeper < _last" if min_docs == 2 else "true").drop("_last")
-    else:  # count distinct documents; pairs are distinct within a row already, but rows may share a doc_id
-        common = keys.distinct().groupBy("key").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("_n")).where(F.col("_n") >= min_docs).drop("_n")
-    gone = keys.join(common, "key").where("doc_id != keeper")
+    keys = cut(line_keys(docs, min_length))
+    common = keys.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("_last"), F.count("*").alias("n"))
+    if min_docs == 2:
+        common = common.where("keeper < _last")
+    elif min_docs > 2:  # a row's keys are distinct already, but rows may share a doc_id
+        enough = keys.distinct().groupBy("key").agg(F.count("*").alias("_d")).where(F.col("_d") >= min_docs).select("key")
+        common = common.join(enough, "key", "left_semi")
+    common = cut(common.drop("_last"))
+    gone = join_skewed(keys, common, ["key"], "n").where("doc_id != keeper")
     return gone.groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
 
 
