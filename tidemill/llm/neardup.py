@@ -314,10 +314,11 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     member = join_skewed(some, classes, ["s1", "s2", "n_shingles"], "n_rows").select("doc_id", "n_shingles", "rep")
     named = member.join(lookup(linker.labels, linker.small), "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
     alone = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return named.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return named.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, with all its columns: the one with the least doc_id. Rows without words stay."""
-    good = components(docs, k, percent).where("kept").select(F.col("doc_id").alias("_keep_id")).distinct()
-    return docs.join(good, docs["doc_id"] == good["_keep_id"], "left_semi")
+    """One document of each component, with all its columns: the one with the least doc_id. Rows without words stay, and
+    so do rows without an id, which nothing could name."""
+    gone = components(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")

@@ -99,6 +99,19 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(other) AS c
 FROM d JOIN reach ON id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n
 """
 
+#: CRC-32 by its table, made bit by bit; then the same ranks, positions and cuts with plain windows.
+OP4_SQL = """
+WITH RECURSIVE t8(i, k, v) AS (SELECT CAST(i AS BIGINT), 0, CAST(i AS BIGINT) FROM range(256) AS r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM t8 WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS t FROM t8 WHERE k = 8),
+b AS (SELECT doc_id, source, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size,
+        string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1 ', 'g'), ' ') AS xs FROM documents),
+d AS (SELECT doc_id, source, h, size, xor(list_reduce(list_prepend(4294967295, [CAST('0x' || x AS BIGINT) FOR x IN xs IF x <> '']), lambda a, x: xor(t[1 + (xor(a, x) & 255)], a >> 8)), 4294967295) AS text_crc32 FROM b, tab),
+r AS (SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32, size) - 1) / (2 * count(*) OVER (PARTITION BY source)) AS position FROM d),
+g AS (SELECT *, row_number() OVER (ORDER BY position, h, doc_id, text_crc32, size) - 1 AS g, count(*) OVER () AS n FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(g * 24 // n AS INTEGER) AS shard, g - (g * 24 // n * n + 23) // 24 AS slot, CAST(NULL AS INTEGER) AS grown_shard, source FROM g
+"""
+
 OP5_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -119,4 +132,4 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(
 FROM m GROUP BY doc_id
 """
 
-ORACLE = {"op2_decontamination": OP2_SQL, "op3_minhash": OP3_SQL, "op5_topk": OP5_SQL, "op8_line_dedup": OP8_SQL}
+ORACLE = {"op2_decontamination": OP2_SQL, "op3_minhash": OP3_SQL, "op4_sharding": OP4_SQL, "op5_topk": OP5_SQL, "op8_line_dedup": OP8_SQL}

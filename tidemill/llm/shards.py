@@ -1,6 +1,6 @@
 """Sharding by proportional stratified interleaving, in DataFrame operations only.
 
-Within each source rows are ranked in a seeded pseudo-random order; a row's position is its fractional rank, (rank +
+Within each source rows are ranked in a seeded pseudo-random order (by the MD5 of seed and id); a row's position is its fractional rank, (rank +
 1/2) / rows of the source; all rows are sorted by position, and the sequence is cut into runs of equal length. So each
 shard holds nearly the same share of every source, and row counts differ by one at most (the law `rows`).
 
@@ -42,12 +42,15 @@ def assign(docs: DataFrame, n_shards: int, seed: int = 7, id_col: str = "doc_id"
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    rows = cut(rows.withColumn("h", F.xxhash64("doc_id", "text_crc32", F.lit(seed))).withColumn("stratum", F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))))
+    seeded = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    rows = cut(rows.withColumn("h", seeded).withColumn("stratum", F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))))
     counts = cut(rows.groupBy("stratum").agg(F.count("*").alias("n_s")))
     total, strata = counts.agg(F.coalesce(F.sum("n_s"), F.lit(0)), F.count("*")).first()
     buckets = lambda n: F.least(F.lit(MOST_BUCKETS), F.ceil(n / BUCKET_ROWS)).cast("long")
     sized = rows.join(F.broadcast(counts) if strata * 16 <= BROADCAST_BYTES else counts, "stratum")
-    sized = sized.withColumn("bucket", F.pmod("h", buckets(F.col("n_s"))))
+    # the leading 32 bits of the hash, scaled: buckets are in the order of the hash
+    lead = F.conv(F.substring("h", 1, 8), 16, 10).cast("long")
+    sized = sized.withColumn("bucket", F.shiftright(lead * buckets(F.col("n_s")), 32))
     before = running(sized.groupBy("stratum", "bucket").agg(F.count("*").alias("n_b")), ["stratum"], "bucket", "n_b", "before").drop("n_b")
     place = F.row_number().over(Window.partitionBy("stratum", "bucket").orderBy("h", "doc_id", "text_crc32", "size"))
     ranked = sized.withColumn("_at", place).join(before, ["stratum", "bucket"])
