@@ -24,8 +24,6 @@ from tidemill.sources.schemas import JOURNAL
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DEDUPE_COLUMNS = [c.split()[0] for c in RESULT.split(", ")]
 JOURNAL_COLUMNS = [c.split()[0] for c in JOURNAL.split(", ")]
-#: Nullable integers and booleans of the journal, which pandas would otherwise make floats and objects.
-KINDS = {"long": "Int64", "int": "Int32", "boolean": "boolean"}
 
 
 class DedupeProcessor(StatefulProcessor):
@@ -69,8 +67,9 @@ class MachineProcessor(StatefulProcessor):
             row = {k: None if v is None or v is pd.NaT or (not hasattr(v, "__len__") and pd.isna(v)) else v for k, v in r.items()}
             events += numbered(machine, row | {"seq": int(row["seq"]), "now_ms": int(row["now_ms"])})
         self.state.update((pickle.dumps(machine),))
-        out = pd.DataFrame(events, columns=JOURNAL_COLUMNS)
-        yield out.astype({c.split()[0]: KINDS[c.split()[1]] for c in JOURNAL.split(", ") if c.split()[1] in KINDS})
+        # plain objects with None: pandas would make nullable integers and booleans floats
+        out = pd.DataFrame(events, columns=JOURNAL_COLUMNS, dtype=object)
+        yield out.where(out.notna(), None)
 
     def close(self) -> None:
         pass
