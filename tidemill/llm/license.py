@@ -2,8 +2,8 @@
 
 Words are runs of ASCII letters and digits, lower-cased. A header is a line of a file with a licence word; its sparse
 TF-IDF vector is compared with every template of the same kind (short notices), and the best cosine of at least
-`THRESHOLD` gives the header's licence. A licence file is one whose name says so, or whose whole text is as near to a
-template as a header has to be; its licence holds for its directory. A file without a header inherits the licence of
+`THRESHOLD` gives the header's licence. A licence file is one whose name says so and that has a licence, or whose whole
+text has a cosine of at least `FILE_THRESHOLD`; its licence holds for its directory. A file without a header inherits the licence of
 the nearest directory on its path that has one, by joining each directory's ancestors to the licensed directories.
 
 Document frequencies of the templates' words are counted over all files; other words count as if no file had them.
@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import chunks, map_chunks
+from tidemill.llm.common import chunks, join_skewed, map_chunks
 from tidemill.llm.decontam import LOWER, Words
 from tidemill.session import cut, ship
 
 THRESHOLD = 0.6
+#: From this cosine of its whole text on, a file is a licence file whatever its name.
+FILE_THRESHOLD = 0.95
 WORD = re.compile("[a-z0-9]+")
 IN_WORD = np.zeros(256, bool)
 IN_WORD[[*range(48, 58), *range(97, 123)]] = True
@@ -131,11 +133,12 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshol
                 out = []
                 for text, named in zip(part.column("text").to_pylist(), part.column("named").to_pylist(), strict=True):
                     score, lic, line = model.header(text)
+                    # a text with a header is like a template as a whole only if it is little longer than it
                     whole, whole_lic = model.best(text) if named or (lic and len(text) <= 4 * len(line or "")) else (0.0, None)
                     good = score >= threshold
-                    # a text with a header is like a template as a whole only if it is little longer than it
-                    is_file = whole >= threshold or (named and good)
-                    out.append((lic if good else None, score if good else None, line if good else None, (whole_lic if whole >= threshold else lic) if is_file else None, max(whole, score) if is_file else None))
+                    as_whole = whole >= (threshold if named else FILE_THRESHOLD)
+                    is_file = as_whole or (named and good)
+                    out.append((lic if good else None, score if good else None, line if good else None, (whole_lic if as_whole else lic) if is_file else None, (whole if as_whole else score) if is_file else None))
                 cols = list(zip(*out, strict=True)) or [[]] * 5
                 kinds = [pa.string(), pa.float64(), pa.string(), pa.string(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([part.column("path"), *[pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)]], ["path", "license", "score", "line", "file_license", "file_score"])
@@ -147,12 +150,14 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshol
     licensed = judged.where(F.col("file_license").isNotNull() & F.col("dir").isNotNull()).groupBy(F.col("dir").alias("above")).agg(F.min(order).alias("f"))
     # each directory once, with all its ancestors; the nearest that is licensed
     parts = F.split("dir", "/")
-    dirs = judged.select("dir").where(F.col("dir").isNotNull()).distinct()
+    dirs = cut(judged.where(F.col("dir").isNotNull()).groupBy("dir").agg(F.count("*").alias("n")))
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     near = dirs.select("dir", F.explode(F.array_distinct(above)).alias("above")).join(licensed, "above")
-    nearest = cut(near.groupBy("dir").agg(F.max_by("f", F.length("above")).alias("f")))
+    nearest = near.groupBy("dir").agg(F.max_by("f", F.length("above")).alias("f"))
+    placed = join_skewed(judged, cut(dirs.join(nearest, "dir", "left")), ["dir"], "n").drop("n")
+    nowhere = judged.where(F.col("dir").isNull()).withColumn("f", F.lit(None).cast(placed.schema["f"].dataType))
     own = F.col("license").isNotNull()
-    return judged.join(nearest, "dir", "left").select(
+    return placed.unionByName(nowhere).select(
         "path",
         F.coalesce("license", "f.file_license").alias("license"),
         F.coalesce("score", -F.col("f.s")).alias("score"),
