@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import GOLDEN, flat_utf8, id_text, map_chunks, mix64
+from tidemill.llm.common import GOLDEN, chunks, flat_utf8, id_text, map_chunks, mix64
 from tidemill.session import cut, ship
 
 WINDOW = 13
@@ -211,16 +211,9 @@ def report(docs: DataFrame, benchmark: DataFrame, share: int = 20, window: int =
             ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
         )
 
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    if size <= broadcast_bytes:
-        collected = sorted((tuple(r) for r in items.collect()), key=str)
-        table = spark.sparkContext.broadcast(collected)
-        version = (hashlib.sha256(repr(collected).encode()).hexdigest(), window, gram)
-
-        def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
-            return rows(part, built(table, version))
-
-        return map_chunks(docs, kernel, f"doc_id {kind}, {REPORT}")
+    index_of = shared_index(items, window, gram, broadcast_bytes)
+    if index_of:
+        return map_chunks(docs, lambda part: rows(part, index_of()), f"doc_id {kind}, {REPORT}")
 
     # the benchmark is large: join the fingerprints, then extend each document against its candidate items
     lengths = [r[0] for r in map_chunks(items.select("item_id", "text"), lambda p: _lengths(p, window), "length int").distinct().collect()]
@@ -241,6 +234,17 @@ def report(docs: DataFrame, benchmark: DataFrame, share: int = 20, window: int =
     return some.unionByName(rest)
 
 
+def shared_index(items: DataFrame, window: int, gram: int, broadcast_bytes: int):
+    """A function that gives a worker the benchmark's index, if the benchmark is small enough to be broadcast."""
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    if size > broadcast_bytes:
+        return None
+    collected = sorted((tuple(r) for r in items.collect()), key=str)
+    table = items.sparkSession.sparkContext.broadcast(collected)
+    version = (hashlib.sha256(repr(collected).encode()).hexdigest(), window, gram)
+    return lambda: built(table, version)
+
+
 _built: dict[tuple, Index] = {}
 
 
@@ -274,7 +278,23 @@ def _prints(part: pa.RecordBatch, id_col: str, window: int, gram: int, lengths:
     return pa.RecordBatch.from_arrays([who.cast(pa.string()) if lengths is None else who, pa.array(cat(sizes, np.int32)), pa.array(cat(prints, np.int64))], [id_col, "length", "print"])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns; a doc_id goes if any row of it is contaminated."""
-    judged = report(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct()
+def clean(docs: DataFrame, benchmark: DataFrame, share: int = 20, window: int = WINDOW, gram: int = GRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The documents that aren't contaminated, with all their columns. With a small benchmark each row is judged where it
+    stands; else a doc_id goes if any row of it is contaminated."""
+    items = id_text(benchmark, "item_id").withColumnRenamed("doc_id", "item_id").dropDuplicates()
+    index_of = shared_index(items, window, gram, broadcast_bytes)
+    if index_of:
+        ship(docs.sparkSession)
+        place = docs.columns.index("text")
+
+        def run(batches):
+            for batch in batches:
+                texts = pa.RecordBatch.from_arrays([pa.array(range(len(batch)), pa.int64()), batch.column(place)], ["doc_id", "text"])
+                for part in chunks(texts):
+                    w, _, n_hit, _ = judge(part, index_of())
+                    good = pa.array((n_hit == 0) | (share * n_hit < w.count))
+                    yield batch.slice(part.column("doc_id")[0].as_py(), len(part)).filter(good)
+
+        return docs.mapInArrow(run, docs.schema)
+    judged = report(docs, benchmark, share, window, gram, broadcast_bytes).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct()
     return docs.join(judged, docs["doc_id"] == judged["_bad_id"], "left_anti")
