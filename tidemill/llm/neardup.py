@@ -7,9 +7,10 @@ probability of at most 2 * (1 - s**R)**m; m is chosen so that this is at most `M
 
 The m tables on the diagonal come first, in a quick round: each bucket's members meet its least one, pairs are
 confirmed on the full sets, and confirmed links are merged into components. Then come all tables, with keys made only
-from tuples that two components still share, and of these only the buckets that hold two components. Of a bucket of up
-to `SMALL` members all pairs of different components are confirmed. The members of larger buckets, which are mostly
-documents that share a passage, are joined exactly by prefix filtering: shingles are ordered by their frequency among
+from tuples that two components still share, and of these only the buckets that hold two components. If one of a key's
+tuples is shared by up to `SMALL` representatives, all pairs of different components in its bucket are confirmed.
+Representatives that have a key of two tuples that more share, which are mostly documents with a passage in
+common, are joined exactly by prefix filtering: shingles are ordered by their frequency among
 these documents, rarest first; linked documents have to share one in their first n - ceil(t * n) + 1, and the
 place of the first that they share bounds their intersection. These rarer buckets are first met by one hub each, then
 by all pairs that the bound leaves. So for every pair that meets in a table, the pair has been confirmed or ruled out,
@@ -118,24 +119,33 @@ def mixed(table: DataFrame, by: list[str], label: str) -> DataFrame:
 
 
 def diagonal(reps: DataFrame, m: int) -> DataFrame:
-    """key, rep, n: the m tables that pair the i-th tuples of both families, where two representatives meet."""
+    """key, rep, n, comp: the m tables that pair the i-th tuples of both families, where two representatives meet, each a
+    component of its own."""
     pairs = F.arrays_zip(F.slice("tuples", 1, m).alias("l"), F.slice("tuples", m + 1, m).alias("r"))
     keys = reps.select("rep", "n", F.posexplode(pairs).alias("t", "p")).select("rep", "n", F.xxhash64("t", "p.l", "p.r").alias("key"))
-    return keys.join(mixed(keys, ["key"], "rep"), "key")
+    return keys.join(mixed(keys, ["key"], "rep"), "key").withColumn("comp", F.col("rep"))
 
 
-def tensored(reps: DataFrame, labels: DataFrame, m: int, small: bool) -> DataFrame:
-    """key, rep, n: the tables of all pairs of tuples, where two components meet. Only a tuple that two components have
-    can be in such a key."""
+def tensored(reps: DataFrame, labels: DataFrame, m: int, small: bool) -> tuple[DataFrame, DataFrame]:
+    """(key, rep, n, comp), (rep, comp): the buckets of all pairs of tuples where two components can meet, and the
+    representatives of the large ones.
+
+    Only a tuple that two components have can be in such a key. A key with a tuple that at most SMALL representatives have
+    is a bucket of that size at most, and is made. All others pair two tuples that more have: of these no key is made, but
+    every representative that has such a pair is listed, to be joined with all the others listed.
+    """
     named = reps.join(lookup(labels, small), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     parts = parts_of(named)
-    shared = mixed(parts, ["t", "value"], "comp")
-    live = parts.join(shared, ["t", "value"]).groupBy("rep", "n", "comp").agg(F.collect_list(F.struct("t", "value")).alias("live"))
+    sizes = parts.groupBy("t", "value").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.count("*").alias("size")).where("_a != _b")
+    shared = cut(sizes.select("t", "value", "size"))
+    live = join_skewed(parts, shared, ["t", "value"], "size").groupBy("rep", "n", "comp").agg(F.collect_list(F.struct("t", "value", (F.col("size") <= SMALL).alias("few"))).alias("live"))
     left, right = F.filter("live", lambda x: x["t"] < m), F.filter("live", lambda x: x["t"] >= m)
-    both = live.where((F.size(left) > 0) & (F.size(right) > 0)).select("rep", "n", "comp", left.alias("left"), right.alias("right"))
-    keys = cut(both).select("rep", "n", "comp", F.explode("left").alias("l"), "right").select("rep", "n", "comp", "l", F.explode("right").alias("r"))
+    both = cut(live.where((F.size(left) > 0) & (F.size(right) > 0)).select("rep", "n", "comp", left.alias("left"), right.alias("right")))
+    wanted = both.select("rep", "n", "comp", F.explode("left").alias("l"), "right").withColumn("right", F.filter("right", lambda x: F.col("l.few") | x["few"]))
+    keys = wanted.select("rep", "n", "comp", "l", F.explode("right").alias("r"))
     keys = keys.select("rep", "n", "comp", F.xxhash64("l.t", "l.value", "r.t", "r.value").alias("key"))
-    return cut(keys.join(mixed(keys, ["key"], "comp"), "key").select("key", "rep", "n"))
+    many = lambda c: F.exists(c, lambda x: ~x["few"])
+    return cut(keys.join(mixed(keys, ["key"], "comp"), "key")), cut(both.where(many("left") & many("right")).select("rep", "comp"))
 
 
 def lookup(table: DataFrame, small: bool) -> DataFrame:
@@ -223,7 +233,10 @@ class Linker:
         self.labels, self.small = labels, labels.count() <= BROADCAST_ROWS
 
     def undecided(self, table: DataFrame) -> DataFrame:
-        """The rows of `table` (key, rep, ...) with their components, in buckets that hold two at least."""
+        """The rows of `table` (key, rep, ...) with their components, in buckets that hold two at least. A table that
+        has components already is as fresh as the labels."""
+        if "comp" in table.columns:
+            return table
         now = table.join(lookup(self.labels, self.small), "rep")
         return cut(now.join(mixed(now, ["key"], "comp"), "key"))
 
@@ -301,16 +314,16 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     first = cut(diagonal(reps, m))
     linker = Linker(cut(first.select("rep", F.col("rep").alias("comp")).distinct()), percent)
     linker.star(first, full_sets(first.select("rep"), texts, k), F.col("rep"))
-    second = tensored(reps, linker.labels, m, linker.small)
-    fresh = second.select("rep", F.col("rep").alias("comp")).distinct().join(lookup(linker.labels, linker.small), "rep", "left_anti")
+    second, large = tensored(reps, linker.labels, m, linker.small)
+    ids = second.select("rep", "comp").unionByName(large)
+    fresh = ids.distinct().join(lookup(linker.labels, linker.small), "rep", "left_anti")
     linker.relabel(cut(linker.labels.unionByName(fresh)))
-    sets2 = full_sets(second.select("rep"), texts, k)
-    sizes = cut(second.groupBy("key").agg(F.count("*").alias("_size")))
-    linker.every_pair(second.join(sizes.where(F.col("_size") <= SMALL).select("key"), "key"), sets2)
-    large = second.join(sizes.where(F.col("_size") > SMALL).select("key"), "key").select("rep").distinct()
-    rare = cut(prefixes(sets2.join(large, "rep", "left_semi"), percent))
-    linker.star(rare, sets2, F.xxhash64("key", "rep"))
-    linker.every_pair(rare, sets2)
+    full = full_sets(ids.select("rep"), texts, k)
+    linker.every_pair(second, full)
+    if large.limit(1).count():
+        rare = cut(prefixes(full.join(large, "rep", "left_semi"), percent))
+        linker.star(rare, full, F.xxhash64("key", "rep"))
+        linker.every_pair(rare, full)
     member = join_skewed(some, classes, ["s1", "s2", "n_shingles"], "n_rows").select("doc_id", "n_shingles", "rep")
     named = member.join(lookup(linker.labels, linker.small), "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
     alone = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -320,5 +333,5 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def keep(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, with all its columns: the one with the least doc_id. Rows without words stay, and
     so do rows without an id, which nothing could name."""
-    gone = components(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    gone = cut(components(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_gone_id")).distinct())
+    return docs.join(lookup(gone, gone.count() <= BROADCAST_ROWS), docs["doc_id"] == gone["_gone_id"], "left_anti")
