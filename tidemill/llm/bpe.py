@@ -29,8 +29,10 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ASCII_WORDS = re.compile(rf"{CONTRACTIONS}|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 WORDS = regex.compile(rf"{CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
 
-#: Words that a worker keeps before it starts anew; some 100 bytes each.
-CACHE_WORDS = 400_000
+#: Words that a worker keeps before it starts anew, some 150 bytes each, and bytes of text that it encodes at once, which
+#: take some 60 times that for a while; two workers share an executor's memory with its JVM.
+CACHE_WORDS = 150_000
+CHUNK_BYTES = 512 << 10
 NONE = np.iinfo(np.int32).max
 
 
@@ -204,7 +206,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         return pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
 
     df = id_text(docs, id_col, text_col)
-    return map_chunks(df, kernel, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return map_chunks(df, kernel, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, ids array<int>", CHUNK_BYTES)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -236,7 +238,7 @@ def encoded_with_digests(docs: DataFrame, path: str | None = None, id_col: str =
         return pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(counts, pa.int64()), sha(c.decimals(ids, counts)), sha(c.decode(ids, counts))], ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     df = id_text(docs, id_col, text_col)
-    return map_chunks(df, kernel, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_chunks(df, kernel, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string", CHUNK_BYTES)
 
 
 def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

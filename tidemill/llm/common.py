@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemill.session import ship
 
 #: Bytes of text that a numpy kernel holds at once; a longer text makes a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 GOLDEN = 0x9E3779B97F4A7C15
 

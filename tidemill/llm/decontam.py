@@ -50,7 +50,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["f"], _powers["b"]
 
 
-CHUNK_POWERS = 1 << 21
+CHUNK_POWERS = 1 << 20
 
 
 class Words:
