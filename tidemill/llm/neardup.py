@@ -153,6 +153,11 @@ def lookup(table: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(table) if small else table
 
 
+def few(table: DataFrame, small: bool) -> DataFrame:
+    """A table that is known to be small in as many partitions as there are cores, so that a step over it is few tasks."""
+    return table.coalesce(table.sparkSession.sparkContext.defaultParallelism) if small else table
+
+
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """rep, comp: `labels` after joining the components that `links` (a, b: representatives) connect.
 
@@ -168,13 +173,13 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     near = labels.join(lookup(ends.distinct(), small), "rep", "left_semi")
     la, lb = (near.select(F.col("rep").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
     edges = links.join(lookup(la, small), "a").join(lookup(lb, small), "b").where("ca != cb").select(F.explode(F.array(F.struct(F.col("ca").alias("u"), F.col("cb").alias("v")), F.struct(F.col("cb").alias("u"), F.col("ca").alias("v")))).alias("e"))
-    both = cut(edges.select("e.*").distinct())
-    nodes = cut(both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("p")))
+    both = cut(few(edges.select("e.*").distinct(), small))
+    nodes = cut(few(both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("p")), small))
     while True:
         # the least label among a node's own and its neighbours', then that label's own label
         asked = both.join(lookup(nodes.select(F.col("u").alias("v"), F.col("p").alias("q")), small), "v").select("u", "q", F.lit(None).cast(nodes.schema["p"].dataType).alias("p"))
         every = asked.unionByName(nodes.select("u", F.col("p").alias("q"), "p"))
-        step = cut(every.groupBy("u").agg(F.min("q").alias("n"), F.min("p").alias("p")))
+        step = cut(few(every.groupBy("u").agg(F.min("q").alias("n"), F.min("p").alias("p")), small))
         jump = step.select(F.col("u").alias("n"), F.col("n").alias("nn"))
         after = step.join(lookup(jump, small), "n", "left").select("u", F.least("n", F.coalesce("nn", "n")).alias("n"), "p")
         after = after if small else cut(after)
@@ -186,8 +191,8 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels.join(lookup(roots, small), "comp", "left").select("rep", F.coalesce("p", "comp").alias("comp"))
 
 
-def full_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """rep, set: the shingle sets of the documents in `ids` (rep), as sorted 64-bit hashes. docs: rep, text."""
+def full_sets(ids: DataFrame, small: bool, docs: DataFrame, k: int) -> DataFrame:
+    """rep, set: the shingle sets of the documents in `ids` (rep, each once), as sorted 64-bit hashes. docs: rep, text."""
     kind = docs.schema["rep"].dataType.simpleString()
 
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -196,8 +201,6 @@ def full_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
         at = (8 * np.r_[0, np.cumsum(sizes)]).tolist()
         return pa.RecordBatch.from_arrays([part.column("rep"), pa.array([raw[i:j] for i, j in zip(at, at[1:], strict=False)], pa.binary())], ["rep", "set"])
 
-    ids = cut(ids.distinct())
-    small = ids.count() <= BROADCAST_ROWS
     # partitioned and sorted once for all the joins by rep that follow
     sets = map_chunks(docs.join(lookup(ids, small), "rep", "left_semi"), kernel, f"rep {kind}, set binary")
     return cut(sets.repartition("rep").sortWithinPartitions("rep"))
@@ -230,7 +233,8 @@ class Linker:
         self.relabel(labels)
 
     def relabel(self, labels: DataFrame) -> None:
-        self.labels, self.small = labels, labels.count() <= BROADCAST_ROWS
+        self.small = labels.count() <= BROADCAST_ROWS
+        self.labels = few(labels, self.small)
 
     def undecided(self, table: DataFrame) -> DataFrame:
         """The rows of `table` (key, rep, ...) with their components, in buckets that hold two at least. A table that
@@ -247,7 +251,7 @@ class Linker:
         if self.done is not None:
             pairs = pairs.join(self.done, ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        self.labels = cut(merged(self.labels, cut(confirmed(pairs, sets, self.percent))))
+        self.labels = cut(few(merged(self.labels, cut(confirmed(pairs, sets, self.percent))), self.small))
         self.done = pairs if self.done is None else self.done.unionByName(pairs)
 
     def star(self, table: DataFrame, sets: DataFrame, first) -> None:
@@ -313,12 +317,13 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     texts = docs.withColumnRenamed("doc_id", "rep").select("rep", "text")
     first = cut(diagonal(reps, m))
     linker = Linker(cut(first.select("rep", F.col("rep").alias("comp")).distinct()), percent)
-    linker.star(first, full_sets(first.select("rep"), texts, k), F.col("rep"))
+    linker.star(first, full_sets(linker.labels.select("rep"), linker.small, texts, k), F.col("rep"))
     second, large = tensored(reps, linker.labels, m, linker.small)
     ids = second.select("rep", "comp").unionByName(large)
-    fresh = ids.distinct().join(lookup(linker.labels, linker.small), "rep", "left_anti")
+    ids = cut(ids.distinct())
+    fresh = ids.join(lookup(linker.labels, linker.small), "rep", "left_anti")
     linker.relabel(cut(linker.labels.unionByName(fresh)))
-    full = full_sets(ids.select("rep"), texts, k)
+    full = full_sets(ids.select("rep"), linker.small, texts, k)
     linker.every_pair(second, full)
     if large.limit(1).count():
         rare = cut(prefixes(full.join(large, "rep", "left_semi"), percent))
