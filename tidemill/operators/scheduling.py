@@ -85,10 +85,10 @@ def subset_shares(spark: SparkSession, scheduling: Scheduling, active: Sequence[
 SELECTION = "seq long, now_ms long, lane string, reason string, waited_ms long"
 
 
-def drained(log: DataFrame, scheduling: Scheduling, first_poll_ms: int, every_ms: int, queue: str | None = None) -> DataFrame:
+def drained(log: DataFrame, scheduling: Scheduling, first_poll_ms: int | None, every_ms: int, queue: str | None = None) -> DataFrame:
     """Selections when a backlog (id, lane, enqueued_at_ms, pos; optionally a queue column) is polled every `every_ms` until
-    it is empty. The rule needs a queue's whole order, so the parallelism is across queues; a queue's state is its lanes'
-    waiting times only."""
+    it is empty, from `first_poll_ms` on; if that is None, each queue from `every_ms` after its last message on. The rule
+    needs a queue's whole order, so the parallelism is across queues; a queue's state is its lanes' waiting times only."""
     from tidemill.session import ship
 
     ship(log.sparkSession)
@@ -102,8 +102,9 @@ def drained(log: DataFrame, scheduling: Scheduling, first_poll_ms: int, every_ms
         waiting = {lane: list(part) for lane, part in pdf.groupby("lane")["enqueued_at_ms"]}
         at = dict.fromkeys(waiting, 0)
         credits, out = Credits(scheduling), []
+        start = int(pdf["enqueued_at_ms"].max()) + every_ms if first_poll_ms is None else first_poll_ms
         for i in range(len(pdf)):
-            now = first_poll_ms + i * every_ms
+            now = start + i * every_ms
             lane, reason, waited = credits.select({x: waiting[x][at[x]] for x in waiting if at[x] < len(waiting[x])}, now)
             at[lane] += 1
             out.append((key[0], i + 1, now, lane, reason, waited))

@@ -318,6 +318,36 @@ def selections_since_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes.since_reset(_override(spark, sf_dir), resets).groupBy("lane").agg(F.count("*").alias("selections"))
 
 
+def _drained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selections while all events drain, each user's as a queue of its own. A recursive query over whole tables is too
+    slow, so what follows has no SQL; the four queries above are the scenario of 300 messages that has."""
+    log = adapters.enqueue_log(spark, sf_dir)
+    rows = log.select("lane", F.col("now_ms").alias("enqueued_at_ms"), F.col("seq").alias("pos"), F.col("dedupe_key").alias("user_key"))
+    return scheduling.drained(rows, EVENT_LANES, None, 60_000, "user_key")
+
+
+@query()
+def scheduler_with_override_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drained(spark, sf_dir).select("queue", "seq", "lane", "reason", "waited_ms")
+
+
+@query()
+def observed_share_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lanes.observed_share(_drained(spark, sf_dir), lanes_frame(spark, EVENT_LANES))
+
+
+@query()
+def share_distortion_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lanes.distortion(_drained(spark, sf_dir), lanes_frame(spark, EVENT_LANES))
+
+
+@query()
+def selections_since_reset_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each queue's statistics were reset after its fifth selection."""
+    resets = spark.createDataFrame([(2,), (5,)], "seq long")
+    return lanes.since_reset(_drained(spark, sf_dir), resets).groupBy("lane").agg(F.count("*").alias("selections"))
+
+
 @query(f"WITH {EV}, d AS (SELECT lane, now_ms // {DAY} * {DAY} AS bucket_ms, count(*) AS change FROM ev GROUP BY ALL) SELECT lane, bucket_ms, change, CAST(sum(change) OVER (PARTITION BY lane ORDER BY bucket_ms) AS BIGINT) AS depth FROM d")
 def running_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = adapters.enqueue_log(spark, sf_dir)
