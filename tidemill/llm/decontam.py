@@ -279,8 +279,8 @@ def _prints(part: pa.RecordBatch, id_col: str, window: int, gram: int, lengths:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: int = 20, window: int = WINDOW, gram: int = GRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns. With a small benchmark each row is judged where it
-    stands; else a doc_id goes if any row of it is contaminated."""
+    """The documents that aren't contaminated, with all their columns; a row's own text decides. With a small benchmark
+    each row is judged where it stands, else each distinct text once, and rows go by the digest of theirs."""
     items = id_text(benchmark, "item_id").withColumnRenamed("doc_id", "item_id").dropDuplicates()
     index_of = shared_index(items, window, gram, broadcast_bytes)
     if index_of:
@@ -296,5 +296,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, share: int = 20, window: int =
                     yield batch.slice(part.column("doc_id")[0].as_py(), len(part)).filter(good)
 
         return docs.mapInArrow(run, docs.schema)
-    judged = report(docs, benchmark, share, window, gram, broadcast_bytes).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(judged, docs["doc_id"] == judged["_bad_id"], "left_anti")
+    digest = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    texts = docs.select(digest.alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    judged = report(texts, benchmark, share, window, gram, broadcast_bytes).where("contaminated").select(F.col("doc_id").alias("_bad_text"))
+    return docs.join(judged, digest == judged["_bad_text"], "left_anti")
