@@ -215,22 +215,24 @@ def report(docs: DataFrame, benchmark: DataFrame, share: int = 20, window: int =
     if index_of:
         return map_chunks(docs, lambda part: rows(part, index_of()), f"doc_id {kind}, {REPORT}")
 
-    # the benchmark is large: join the fingerprints, then extend each document against its candidate items
+    # the benchmark is large: join the fingerprints, then extend each document against its candidate items. Rows meet by
+    # hashes of their id and text, as ids can be null; rows whose hashes are equal share candidates, which are all compared
+    docs, items = docs.withColumn("_key", F.xxhash64("doc_id", "text")), items.withColumn("_item", F.xxhash64("item_id", "text"))
     lengths = [r[0] for r in map_chunks(items.select("item_id", "text"), lambda p: _lengths(p, window), "length int").distinct().collect()]
-    mine = map_chunks(items, lambda p: _prints(p, "item_id", window, gram, None), "item_id string, length int, print long").distinct()
-    theirs = map_chunks(docs, lambda p: _prints(p, "doc_id", window, gram, lengths), f"doc_id {kind}, length int, print long").distinct()
-    pairs = cut(theirs.join(mine, ["length", "print"]).select("doc_id", "item_id").distinct())
-    candidates = pairs.join(items.withColumn("item_id", F.col("item_id").cast("string")), "item_id").select("doc_id", "item_id", "text")
+    mine = map_chunks(items, lambda p: _prints(p, "_item", window, gram, None), "_item long, length int, print long").distinct()
+    theirs = map_chunks(docs, lambda p: _prints(p, "_key", window, gram, lengths), "_key long, length int, print long").distinct()
+    pairs = cut(theirs.join(mine, ["length", "print"]).select("_key", "_item").distinct())
+    candidates = pairs.join(items.withColumn("item_id", F.col("item_id").cast("string")), "_item").select("_key", "item_id", "text")
     ship(spark)
 
     def extend(key, left: pa.Table, right: pa.Table) -> pa.Table:
         index = Index(list(zip(right.column("item_id").to_pylist(), right.column("text").to_pylist(), strict=True)), window, gram)
         return pa.Table.from_batches([rows(b, index) for b in left.combine_chunks().to_batches()])
 
-    touched = pairs.select("doc_id").distinct()
-    some = docs.join(touched, "doc_id", "left_semi").groupBy("doc_id").cogroup(candidates.groupBy("doc_id")).applyInArrow(extend, f"doc_id {kind}, {REPORT}")
+    touched = pairs.select("_key").distinct()
+    some = docs.join(touched, "_key", "left_semi").groupBy("_key").cogroup(candidates.groupBy("_key")).applyInArrow(extend, f"doc_id {kind}, {REPORT}")
     none = Index([], window, gram)
-    rest = map_chunks(docs.join(touched, "doc_id", "left_anti"), lambda p: rows(p, none), f"doc_id {kind}, {REPORT}")
+    rest = map_chunks(docs.join(touched, "_key", "left_anti"), lambda p: rows(p, none), f"doc_id {kind}, {REPORT}")
     return some.unionByName(rest)
 
 
@@ -275,7 +277,7 @@ def _prints(part: pa.RecordBatch, id_col: str, window: int, gram: int, lengths:
         prints.append(f.view(np.int64))
     cat = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
     who = part.column(id_col).take(pa.array(cat(ids, np.int64)))
-    return pa.RecordBatch.from_arrays([who.cast(pa.string()) if lengths is None else who, pa.array(cat(sizes, np.int32)), pa.array(cat(prints, np.int64))], [id_col, "length", "print"])
+    return pa.RecordBatch.from_arrays([who, pa.array(cat(sizes, np.int32)), pa.array(cat(prints, np.int64))], [id_col, "length", "print"])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: int = 20, window: int = WINDOW, gram: int = GRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
