@@ -4,7 +4,9 @@ A text's vector holds the hashed counts of its character 1-, 2- and 3-grams (low
 one blank, words with digits left out), damped by a logarithm, weighted by inverse document frequency over all training documents, and normalised.
 Each language has several centroids, clustered by spherical k-means from a bounded sample; a text takes the
 language of the centroid with the highest cosine. It is rejected if it has no letter, or if that cosine is less
-than a share of the least that the language's own sample reaches.
+than a floor. From `LONG` distinct grams on, that is `LONG_FLOOR` of the least cosine that such texts of the language's own
+sample reach; texts with fewer (short ones, or a few words repeated) have lower floors, down to `FLOOR` of the least of all
+texts of the sample, as their cosines scatter.
 
 The sample: about `SAMPLE` texts a language, chosen by a hash of their id, whole texts. Document frequencies: all
 training texts. Defined results: null texts and texts without letters are `und` with score 0 and rejected; repeated rows
@@ -25,8 +27,10 @@ from tidemill.session import ship
 DIMS = 4096
 SAMPLE = 400
 CENTROIDS = 4
-#: A text is rejected under this share of the least cosine that its language's own sample reaches.
+#: A text is rejected under this share of the least cosine that its language's own sample reaches: the shortest texts
 FLOOR = 0.25
+#: under the first, those of at least `LONG` distinct grams under the second, of the least of such texts.
+LONG_FLOOR, LONG = 0.65, 200
 
 _letters: list[np.ndarray] = []
 
@@ -100,11 +104,16 @@ def clustered(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 class Model:
-    """Inverse document frequencies, and each language's centroids and least cosine."""
+    """Inverse document frequencies, and each language's centroids and floors [language, short or long]."""
 
     def __init__(self, idf: np.ndarray, langs: list[str], centres: np.ndarray, owner: np.ndarray, least: np.ndarray):
         self.idf, self.langs, self.centres, self.owner, self.least = idf, langs, centres, owner, least
 
+    def floors(self, lang: np.ndarray, n_grams: np.ndarray) -> np.ndarray:
+        """The cosine under which a text of this many distinct grams is rejected."""
+        short, long = self.least[lang].T
+        return short + (long - short) * np.minimum(n_grams / LONG, 1) ** 3
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         counts, n_letters = gram_counts(texts)
         if not self.langs:
@@ -115,7 +124,7 @@ class Model:
         lang = self.owner[best]
         none = n_letters == 0
         score[none] = 0
-        rejected = none | (score < self.least[lang])
+        rejected = none | (score < self.floors(lang, (counts > 0).sum(axis=1)))
         return ["und" if x else self.langs[i] for i, x in zip(lang.tolist(), none.tolist(), strict=True)], score, rejected
 
 
@@ -126,7 +135,7 @@ def train(docs: DataFrame, use: Column | None = None, sample: int = SAMPLE, cent
     rows = rows.select("doc_id", F.col("text"), "lang")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Model(np.ones(DIMS), [], np.zeros((0, DIMS)), np.zeros(0, int), np.zeros(0))
+        return Model(np.ones(DIMS), [], np.zeros((0, DIMS)), np.zeros(0, int), np.zeros((0, 2)))
 
     ship(docs.sparkSession)
 
@@ -153,20 +162,23 @@ def train(docs: DataFrame, use: Column | None = None, sample: int = SAMPLE, cent
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
         counts, n = gram_counts(part.column("text").to_pylist())
         v = [x.tobytes() if k else None for x, k in zip(vectors(counts, idf).astype(np.float16), n.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(v, pa.binary())], ["doc_id", "lang", "v"])
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(v, pa.binary()), pa.array((counts > 0).sum(axis=1) >= LONG)], ["doc_id", "lang", "v", "long"])
 
-    taken = map_chunks(rows.where(at < share[F.col("lang")]), kernel, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, v binary").where("v is not null")
+    taken = map_chunks(rows.where(at < share[F.col("lang")]), kernel, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, v binary, long boolean").where("v is not null")
     by: dict[str, list[tuple]] = {}
     for r in taken.toLocalIterator():
-        by.setdefault(r["lang"], []).append((r["doc_id"], bytes(r["v"])))
+        by.setdefault(r["lang"], []).append((r["doc_id"], bytes(r["v"]), r["long"]))
     langs, centres, owner, least = [], [], [], []
     for lang in sorted(by):
-        v = np.stack([np.frombuffer(x, np.float16).astype(np.float32) for _, x in sorted(by[lang])])
+        by[lang].sort()
+        v = np.stack([np.frombuffer(x, np.float16).astype(np.float32) for _, x, _ in by[lang]])
         own = clustered(v, centroids)
         langs.append(lang)
         centres.append(own)
         owner += [len(langs) - 1] * len(own)
-        least.append(floor * float((v @ own.T).max(axis=1).min()))
+        cosine, is_long = (v @ own.T).max(axis=1), np.array([x for *_, x in by[lang]])
+        short = floor * float(cosine.min())
+        least.append((short, max(short, LONG_FLOOR * float(cosine[is_long].min())) if is_long.any() else short))
     return Model(idf.astype(np.float32), langs, np.concatenate(centres).astype(np.float32), np.array(owner), np.array(least))
 
 
