@@ -133,8 +133,7 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshol
                 out = []
                 for text, named in zip(part.column("text").to_pylist(), part.column("named").to_pylist(), strict=True):
                     score, lic, line = model.header(text)
-                    # a text with a header is like a template as a whole only if it is little longer than it
-                    whole, whole_lic = model.best(text) if named or (lic and len(text) <= 4 * len(line or "")) else (0.0, None)
+                    whole, whole_lic = model.best(text) if named or lic else (0.0, None)
                     good = score >= threshold
                     as_whole = whole >= (threshold if named else FILE_THRESHOLD)
                     is_file = as_whole or (named and good)
