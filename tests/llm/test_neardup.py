@@ -10,6 +10,8 @@ from .conftest import near_components, pairs
 def check(docs, k, percent):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.components(docs, k, percent).collect()}
     assert got == near_components(pairs(docs.dropDuplicates(["doc_id"])), k, percent)
+    kept = sorted(r["doc_id"] for r in neardup.keep(docs, k, percent).collect())
+    assert kept == sorted(i for i, (n, c) in got.items() if i == c or not n)
 
 
 @pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
@@ -48,3 +50,22 @@ def test_miss_is_bounded():
     for percent in (80, 85, 95):
         m = neardup.tuples_for(percent / 100)
         assert 2 * (1 - (percent / 100) ** neardup.R) ** m <= neardup.MISS
+
+
+def test_rows_with_one_id_are_one_document(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue black white grey")
+    rows = [(3, a), (5, a), (4, b), (5, b), (9, c), (9, ""), (7, c), (2, ""), (2, None), (8, "else where it goes on and on")]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect())
+    assert got == sorted([(3, 3, True), (5, 3, False), (4, 3, False), (5, 3, False), (9, 7, False), (9, 7, False), (7, 7, True), (2, 2, True), (2, 2, True), (8, 8, True)])
+
+
+def test_rows_without_an_id(spark):
+    a, b = "alpha beta gamma delta epsilon zeta", "one two three four five six"
+    rows = [(None, a), (6, a), (None, a), (None, b), (None, b + " "), (None, ""), (None, None), (7, "x y z"), (7, "x y z")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, _kx int")
+    got = sorted(map(str, ((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.components(docs, 3, 85).collect())))
+    null = (None, None, True)
+    assert got == sorted(map(str, [(None, 6, False), (6, 6, True), (None, 6, False), null, null, null, null, (7, 7, True), (7, 7, True)]))
+    kept = neardup.keep(docs, 3, 85)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, ((r["doc_id"], (r["text"] or "").strip()) for r in kept.collect()))) == sorted(map(str, [(6, a), (None, b), (None, ""), (None, ""), (7, "x y z")]))

@@ -16,9 +16,12 @@ place of the first that they share bounds their intersection. These rarer bucket
 by all pairs that the bound leaves. So for every pair that meets in a table, the pair has been confirmed or ruled out,
 or its two ends are connected already: no caps, and no expansion of a group of copies into all its pairs.
 
+Buckets that hold a ten-thousandth of a table's rows or more are joined where their rows stand (`join_skewed`).
+
 Defined results: documents without words (or text) have no shingles and are alone; a document of fewer words than
-a shingle has one shingle, the whole sequence; rows with one doc_id are one document, linked where any of them is;
-empty tables give no rows; other columns are ignored by `components` and kept by `keep`.
+a shingle has one shingle, the whole sequence; rows with one doc_id are one document, linked where any of them is, so that
+all its rows have one component; a row without an id is a document of its own, and a component of such rows only has a null
+component_id; empty tables give no rows; other columns are ignored by `components` and kept by `keep`.
 """
 
 from __future__ import annotations
@@ -92,20 +95,36 @@ def sketches(h: np.ndarray, sizes: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
+#: What tells a row of documents from all others that aren't equal to it: two hashes of its id and text.
+ROW = ("kx", "ky")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """kx, ky, doc_id, text."""
+    docs = id_text(docs)
+    return docs.select(F.xxhash64("doc_id", "text").alias("kx"), F.xxhash64(F.lit(1), "doc_id", "text").alias("ky"), "doc_id", "text")
+
+
+def digests(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each row's set."""
+    at = np.r_[0, np.cumsum(sizes)]
+    totals = (np.r_[np.uint64(0), np.cumsum(x)] for x in (h, mix64(h ^ np.uint64(GOLDEN))))
+    first, second = ((t[at[1:]] - t[at[:-1]]).view(np.int64) for t in totals)
+    return first, second
+
+
 def set_table(docs: DataFrame, k: int, m: int) -> DataFrame:
-    """doc_id, n_shingles, s1, s2 (a 128-bit digest of the set), tuples array<long>."""
+    """kx, ky, doc_id, n_shingles, s1, s2 (a 128-bit digest of the set), tuples array<long>."""
 
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
         h, sizes = shingle_sets(part.column("text"), k)
-        total = np.r_[np.uint64(0), np.cumsum(h)]
-        total2 = np.r_[np.uint64(0), np.cumsum(mix64(h ^ np.uint64(GOLDEN)))]
-        at = np.r_[0, np.cumsum(sizes)]
-        s1, s2 = ((x[at[1:]] - x[at[:-1]]).view(np.int64) for x in (total, total2))
+        s1, s2 = digests(h, sizes)
         flat = sketches(h, sizes, m).view(np.int64).ravel()
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2 * m), pa.int32()), pa.array(flat))
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(s1), pa.array(s2), lists], ["doc_id", "n_shingles", "s1", "s2", "tuples"])
+        own = [part.column(c) for c in (*ROW, "doc_id")]
+        return pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(s1), pa.array(s2), lists], [*ROW, "doc_id", "n_shingles", "s1", "s2", "tuples"])
 
-    return map_chunks(docs, kernel, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, s1 long, s2 long, tuples array<long>")
+    return map_chunks(docs, kernel, f"kx long, ky long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, s1 long, s2 long, tuples array<long>")
 
 
 def parts_of(reps: DataFrame) -> DataFrame:
@@ -113,9 +132,15 @@ def parts_of(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "n", "comp", F.posexplode("tuples").alias("t", "value"))
 
 
-def mixed(table: DataFrame, by: list[str], label: str) -> DataFrame:
-    """The groups of `table` that have more than one `label`; least and greatest are combined before the shuffle."""
-    return table.groupBy(*by).agg(F.min(label).alias("_a"), F.max(label).alias("_b")).where("_a != _b").select(*by)
+def mixed(table: DataFrame, label: str, *more) -> DataFrame:
+    """The keys of `table` that have more than one `label`, with their numbers of rows; partial results are combined
+    before the shuffle."""
+    return table.groupBy("key").agg(F.min(label).alias("_a"), F.max(label).alias("_b"), F.count("*").alias("_n"), *more).where("_a != _b")
+
+
+def in_mixed(table: DataFrame, label: str) -> DataFrame:
+    """The rows of `table` whose key has more than one `label`."""
+    return join_skewed(table, cut(mixed(table, label).select("key", "_n")), ["key"], "_n").drop("_n")
 
 
 def diagonal(reps: DataFrame, m: int) -> DataFrame:
@@ -123,7 +148,7 @@ def diagonal(reps: DataFrame, m: int) -> DataFrame:
     component of its own."""
     pairs = F.arrays_zip(F.slice("tuples", 1, m).alias("l"), F.slice("tuples", m + 1, m).alias("r"))
     keys = reps.select("rep", "n", F.posexplode(pairs).alias("t", "p")).select("rep", "n", F.xxhash64("t", "p.l", "p.r").alias("key"))
-    return keys.join(mixed(keys, ["key"], "rep"), "key").withColumn("comp", F.col("rep"))
+    return in_mixed(keys, "rep").withColumn("comp", F.col("rep"))
 
 
 def tensored(reps: DataFrame, labels: DataFrame, m: int, small: bool) -> tuple[DataFrame, DataFrame]:
@@ -145,7 +170,7 @@ def tensored(reps: DataFrame, labels: DataFrame, m: int, small: bool) -> tuple[D
     keys = wanted.select("rep", "n", "comp", "l", F.explode("right").alias("r"))
     keys = keys.select("rep", "n", "comp", F.xxhash64("l.t", "l.value", "r.t", "r.value").alias("key"))
     many = lambda c: F.exists(c, lambda x: ~x["few"])
-    return cut(keys.join(mixed(keys, ["key"], "comp"), "key")), cut(both.where(many("left") & many("right")).select("rep", "comp"))
+    return cut(in_mixed(keys, "comp")), cut(both.where(many("left") & many("right")).select("rep", "comp"))
 
 
 def lookup(table: DataFrame, small: bool) -> DataFrame:
@@ -191,19 +216,21 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels.join(lookup(roots, small), "comp", "left").select("rep", F.coalesce("p", "comp").alias("comp"))
 
 
-def full_sets(ids: DataFrame, small: bool, docs: DataFrame, k: int) -> DataFrame:
-    """rep, set: the shingle sets of the documents in `ids` (rep, each once), as sorted 64-bit hashes. docs: rep, text."""
-    kind = docs.schema["rep"].dataType.simpleString()
+def full_sets(ids: DataFrame, small: bool, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """rep, set: the shingle sets of the classes in `ids` (rep, each once), as sorted 64-bit hashes. docs: kx, text."""
+    wanted = classes.join(lookup(ids, small), "rep", "left_semi").select("rep", "kx", "s1", "s2")
 
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
         h, sizes = shingle_sets(part.column("text"), k)
+        s1, s2 = digests(h, sizes)
         raw = h.view(np.uint8).tobytes()
         at = (8 * np.r_[0, np.cumsum(sizes)]).tolist()
-        return pa.RecordBatch.from_arrays([part.column("rep"), pa.array([raw[i:j] for i, j in zip(at, at[1:], strict=False)], pa.binary())], ["rep", "set"])
+        return pa.RecordBatch.from_arrays([part.column("kx"), pa.array(s1), pa.array(s2), pa.array([raw[i:j] for i, j in zip(at, at[1:], strict=False)], pa.binary())], ["kx", "s1", "s2", "set"])
 
-    # partitioned and sorted once for all the joins by rep that follow
-    sets = map_chunks(docs.join(lookup(ids, small), "rep", "left_semi"), kernel, f"rep {kind}, set binary")
-    return cut(sets.repartition("rep").sortWithinPartitions("rep"))
+    sets = map_chunks(docs.select("kx", "text").join(lookup(wanted.select("kx"), small), "kx", "left_semi"), kernel, "kx long, s1 long, s2 long, set binary")
+    # a row is chosen by its key and its set; of rows that agree in both, which are repeats, one stays. This leaves the
+    # sets partitioned and sorted for all the joins by rep that follow
+    return cut(sets.join(lookup(wanted, small), ["kx", "s1", "s2"]).groupBy("rep").agg(F.first("set").alias("set")).sortWithinPartitions("rep"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -236,13 +263,9 @@ class Linker:
         self.small = labels.count() <= BROADCAST_ROWS
         self.labels = few(labels, self.small)
 
-    def undecided(self, table: DataFrame) -> DataFrame:
-        """The rows of `table` (key, rep, ...) with their components, in buckets that hold two at least. A table that
-        has components already is as fresh as the labels."""
-        if "comp" in table.columns:
-            return table
-        now = table.join(lookup(self.labels, self.small), "rep")
-        return cut(now.join(mixed(now, ["key"], "comp"), "key"))
+    def current(self, table: DataFrame) -> DataFrame:
+        """`table` (key, rep, ...) with the components. A table that has them already is as fresh as the labels."""
+        return table if "comp" in table.columns else cut(table.join(lookup(self.labels, self.small), "rep"))
 
     def confirm(self, met: DataFrame, sets: DataFrame) -> None:
         """Test pairs (rep, other, n, m) whose sizes allow a link."""
@@ -255,14 +278,16 @@ class Linker:
         self.done = pairs if self.done is None else self.done.unionByName(pairs)
 
     def star(self, table: DataFrame, sets: DataFrame, first) -> None:
-        """Every undecided bucket's members meet the member that is least by the column `first`."""
-        left = self.undecided(table)
-        hubs = left.groupBy("key").agg(F.min(F.struct(first.alias("_o"), F.col("rep").alias("other"), F.col("n").alias("m"), F.col("comp").alias("_c"), *self.places(left, "_j"))).alias("h")).select("key", "h.*")
-        self.confirm(self.within(left.join(hubs, "key").where("comp != _c")), sets)
+        """The members of every bucket with two components meet the member that is least by the column `first`."""
+        left = self.current(table)
+        least = F.min(F.struct(first.alias("_o"), F.col("rep").alias("other"), F.col("n").alias("m"), F.col("comp").alias("_c"), *self.places(left, "_j")))
+        hubs = cut(mixed(left, "comp", least.alias("h")).select("key", "_n", "h.*"))
+        self.confirm(self.within(join_skewed(left, hubs, ["key"], "_n").where("comp != _c")), sets)
 
     def every_pair(self, table: DataFrame, sets: DataFrame) -> None:
-        """All pairs of different components in every undecided bucket."""
-        left = self.undecided(table)
+        """All pairs of different components in every bucket that has two."""
+        left = self.current(table)
+        left = left if left is table else cut(in_mixed(left, "comp"))
         right = left.select("key", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("comp").alias("_c"), *self.places(left, "_j"))
         bound = self.bound if "i" in left.columns else F.lit(True)
         met = left.join(right, (left["key"] == right["key"]) & (F.col("rep") < F.col("other")) & (F.col("comp") != F.col("_c")) & bound)
@@ -304,39 +329,91 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return placed.where(100 * F.col("i") <= 100 * F.col("n") - F.ceil(F.col("n") * percent / 100) * 100).select("key", "rep", "n", "i")
 
 
-def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: documents linked by 100 * intersection >= percent * union of their
-    sets of k-word shingles; component_id is the least doc_id that links reach, kept marks the document of that id."""
-    docs = id_text(docs)
+def repeated(sets: DataFrame, classes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Labels after joining the classes that rows with one doc_id have, and (doc_id, comp) for the ids with several sets;
+    None if there is no such id."""
+    one = F.struct("s1", "s2", "n_shingles")
+    ids = cut(sets.where("doc_id is not null").groupBy("doc_id").agg(F.min(one).alias("_a"), F.max(one).alias("_b")).where("_a != _b").select("doc_id"))
+    n = ids.count()
+    if not n:
+        return None
+    rows = sets.where("n_shingles > 0").join(lookup(ids, n <= BROADCAST_ROWS), "doc_id", "left_semi").select("doc_id", "s1", "s2", "n_shingles").distinct()
+    has = cut(rows.join(classes.select("s1", "s2", "n_shingles", "rep"), ["s1", "s2", "n_shingles"]).select("doc_id", "rep"))
+    fresh = has.select("rep").distinct().join(labels, "rep", "left_anti").select("rep", F.col("rep").alias("comp"))
+    labels = cut(labels.unionByName(fresh))
+    hubs = has.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    links = cut(has.join(hubs, "doc_id").where("a != rep").select("a", F.col("rep").alias("b")).distinct())
+    labels = cut(merged(labels, links))
+    return labels, cut(hubs.join(labels, hubs["a"] == labels["rep"]).select("doc_id", "comp"))
+
+
+def labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """kx, ky, doc_id, n_shingles, comp (null for a document without shingles), component_id of every row."""
+    docs = keyed(docs)
     m = tuples_for(percent / 100)
     sets = cut(set_table(docs, k, m))
     some = sets.where("n_shingles > 0")
-    classes = cut(some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows")))
-    reps = some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
-    reps = cut(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "tuples"))
-    texts = docs.withColumnRenamed("doc_id", "rep").select("rep", "text")
+    # rows with equal sets are a class, named by a number, whose text is that of its row with the least key
+    classes = some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("least"), F.min("kx").alias("kx"), F.count("*").alias("n_rows"), F.first("tuples").alias("tuples"))
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()))
+    reps = classes.select("rep", F.col("n_shingles").alias("n"), "tuples")
     first = cut(diagonal(reps, m))
     linker = Linker(cut(first.select("rep", F.col("rep").alias("comp")).distinct()), percent)
-    linker.star(first, full_sets(linker.labels.select("rep"), linker.small, texts, k), F.col("rep"))
+    linker.star(first, full_sets(linker.labels.select("rep"), linker.small, classes, docs, k), F.col("rep"))
     second, large = tensored(reps, linker.labels, m, linker.small)
     ids = second.select("rep", "comp").unionByName(large)
     ids = cut(ids.distinct())
     fresh = ids.join(lookup(linker.labels, linker.small), "rep", "left_anti")
     linker.relabel(cut(linker.labels.unionByName(fresh)))
-    full = full_sets(ids.select("rep"), linker.small, texts, k)
+    full = full_sets(ids.select("rep"), linker.small, classes, docs, k)
     linker.every_pair(second, full)
     if large.limit(1).count():
         rare = cut(prefixes(full.join(large, "rep", "left_semi"), percent))
         linker.star(rare, full, F.xxhash64("key", "rep"))
         linker.every_pair(rare, full)
-    member = join_skewed(some, classes, ["s1", "s2", "n_shingles"], "n_rows").select("doc_id", "n_shingles", "rep")
-    named = member.join(lookup(linker.labels, linker.small), "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
-    alone = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return named.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    again = repeated(sets, classes, linker.labels)
+    if again:
+        linker.relabel(again[0])
+    placed = classes.select("s1", "s2", "n_shingles", "n_rows", "least", "rep").join(lookup(linker.labels, linker.small), "rep", "left")
+    placed = cut(placed.withColumn("comp", F.coalesce("comp", "rep")))
+    # only the components that are labelled can have several classes
+    least = linker.labels.join(placed.select("rep", "least"), "rep").groupBy("comp").agg(F.min("least").alias("lead"))
+    named = placed.join(lookup(least, linker.small), "comp", "left").withColumn("component_id", F.coalesce("lead", "least"))
+    named = cut(named.select("s1", "s2", "n_shingles", "n_rows", "comp", "component_id"))
+    out = [*ROW, "doc_id", "n_shingles", "comp", "component_id"]
+    member = join_skewed(some.drop("tuples"), named, ["s1", "s2", "n_shingles"], "n_rows").select(*out)
+    alone = sets.where("n_shingles = 0").select(*ROW, "doc_id", "n_shingles")
+    if again:
+        of = named.groupBy("comp").agg(F.min("component_id").alias("component_id"))
+        alone = alone.join(again[1].join(of, "comp"), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    else:
+        alone = alone.withColumn("comp", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
+    return member.unionByName(alone.select(*out))
+
+
+def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: documents linked by 100 * intersection >= percent * union of their
+    sets of k-word shingles; component_id is the least doc_id that links reach, kept marks the document of that id."""
+    rows = labelled(docs, k, percent)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, with all its columns: the one with the least doc_id. Rows without words stay, and
-    so do rows without an id, which nothing could name."""
-    gone = cut(components(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_gone_id")).distinct())
-    return docs.join(lookup(gone, gone.count() <= BROADCAST_ROWS), docs["doc_id"] == gone["_gone_id"], "left_anti")
+    """One row of each component, with all its columns: of the rows with its least doc_id (or without one, if none has an
+    id) the one with the least key; of rows that agree in id and text any. Rows without words stay."""
+    rows = cut(labelled(docs, k, percent).where("n_shingles > 0").groupBy("comp", F.col("doc_id").isNull().alias("_no"), "doc_id", *ROW).agg(F.count("*").alias("n")))
+    order = F.struct("_no", "doc_id", *ROW)
+    best = cut(rows.groupBy("comp").agg(F.min(order).alias("_best"), F.count("*").alias("_rows"), F.sum("n").alias("_all")).where("_all > 1"))
+    met = cut(join_skewed(rows, best, ["comp"], "_rows").select(*[F.col(c).alias(f"_{c}") for c in ROW], (order == F.col("_best")).alias("_stays"), "n"))
+    gone = met.where("not _stays").select("_kx", "_ky").distinct()
+    twice = met.where("_stays and n > 1").select("_kx", "_ky")
+    names = [f"_row_{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)  # names of our own, whatever the documents' are
+    of = {c: F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text")}
+    hashes = [F.xxhash64(*x, of["doc_id"], F.coalesce(of["text"], F.lit(""))) for x in ((), (F.lit(1),))]
+    keys = plain.select("*", hashes[0].alias("_kx"), hashes[1].alias("_ky"))
+    left = keys.join(lookup(gone, met.count() <= BROADCAST_ROWS), ["_kx", "_ky"], "left_anti")
+    if twice.limit(1).count():
+        few_ = lookup(twice, twice.count() <= BROADCAST_ROWS)
+        left = left.join(few_, ["_kx", "_ky"], "left_anti").unionByName(left.join(few_, ["_kx", "_ky"], "left_semi").dropDuplicates(["_kx", "_ky"]))
+    return left.select(*names).toDF(*docs.columns)
