@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -22,6 +23,26 @@ def test_codec_equals_the_library():
         assert decoded[i].decode() == lib.decode(e.ids, skip_special_tokens=False)
 
 
+def test_every_code_point():
+    """Each alone between letters, and as a mark among other marks, which tells its place in the normal form."""
+    lib, codec = Tokenizer.from_file(bpe.vocabulary()), bpe.Codec(bpe.vocabulary())
+    chars = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    marks = [c for c in chars if unicodedata.combining(c)] + [chr(0x11930), chr(0x11938)]
+    texts = [f"a{c}b" for c in chars] + [f"a{c}\u0323" for c in marks] + [f"a\u0345{c}" for c in marks] + [chr(0x11935) + c + chr(0x11930) for c in marks]
+    for k in range(0, len(texts), 20_000):
+        ids, counts = codec.encode(texts[k : k + 20_000])
+        at = np.r_[0, np.cumsum(counts)]
+        assert not [t for i, (t, e) in enumerate(zip(texts[k : k + 20_000], lib.encode_batch(texts[k : k + 20_000], add_special_tokens=False), strict=True)) if ids[at[i] : at[i + 1]].tolist() != e.ids]
+
+
+def test_decoding_in_small_runs(spark, monkeypatch):
+    rows = [(i, [7 * j % 400 for j in range(i * i)]) for i in range(12)] + [(20, None)]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>").coalesce(1)
+    codec = bpe.Codec(bpe.vocabulary())
+    want = {i: codec.decode(np.array(x or [], np.int64), np.array([len(x or [])]))[0].decode() for i, x in rows}
+    assert {r["doc_id"]: r["text"] for r in bpe.decode(df).collect()} == want
+
+
 def test_cache_can_start_anew(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
     codec = bpe.Codec(bpe.vocabulary())

@@ -18,21 +18,60 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from tidemill.llm.common import gather, id_text, map_chunks
+from tidemill.session import ship
 
-#: The contractions and character classes of the vocabulary's pre-tokenizer.
+#: The contractions of the vocabulary's pre-tokenizer, and white space as it takes it.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-ASCII_WORDS = re.compile(rf"{CONTRACTIONS}|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
-WORDS = regex.compile(rf"{CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
+WHITE = r"\t-\r \x85\xa0  -     　"
+#: Letters, numbers and small letters of Unicode 16 (and of 17, the small ones) that the tokenizers library
+#: knows beside those of Unicode 15.1, as ranges of code points.
+NEWER_LETTERS = (
+    "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b-1138b 1138e-1138e 11390-113b5 "
+    "113b7-113b7 113d1-113d1 113d3-113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff-18cff 1e5d0-1e5ed 1e5f0-1e5f0"
+)
+NEWER_NUMBERS = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
+NEWER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+NEWER_LOWER |= {i: i + 0x20 for i in range(0x10D50, 0x10D66)} | {i: i + 0x1B for i in range(0x16EA0, 0x16EB9)}
+
+#: Combining marks (and one vowel sign that composes) that the library's normaliser, whose tables are older,
+#: leaves where they are, as ranges of code points.
+FIXED_MARKS = (
+    "7fd-7fd 898-89f 8ca-8d3 9fe-9fe c3c-c3c d3b-d3c eba-eba 1715-1715 1abf-1ace 1df6-1dfa a82c-a82c 10d24-10d27 10eab-10eac 10efd-10eff "
+    "10f46-10f50 10f82-10f85 11070-11070 1133b-1133b 1145e-1145e 11839-1183a 11930-11930 1193d-1193e 11943-11943 119e0-119e0 11a34-11a34 11a47-11a47 "
+    "11a99-11a99 11d42-11d42 11d44-11d45 11d97-11d97 11f41-11f42 16ff0-16ff1 1e08f-1e08f 1e130-1e136 1e2ae-1e2ae 1e2ec-1e2ef 1e4ec-1e4ef"
+)
+
+
+def class_of(major: str, newer: str) -> tuple[str, str]:
+    """The code points of a general category up to Unicode 15.1 and those of `newer`, as ranges of a regular expression:
+    all of them, and those below 0x10000, whose look-up is a table's."""
+    inside = np.fromiter((unicodedata.category(chr(i))[0] == major for i in range(0x110000)), bool, 0x110000)
+    for run in newer.split():
+        first, last = (int(x, 16) for x in run.split("-"))
+        inside[first : last + 1] = True
+    edges = (np.flatnonzero(np.diff(np.r_[False, x, False].astype(np.int8))) for x in (inside, inside[:0x10000]))
+    return tuple("".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in e.reshape(-1, 2).tolist()) for e in edges)
+
+
+CLASSES = list(zip(class_of("L", NEWER_LETTERS), class_of("N", NEWER_NUMBERS), strict=True))
+# contractions begin with what is neither letter nor number, so their place before the others' rest is all that counts
+ASCII_WORDS = re.compile(rf"[a-z]+|[0-9]|{CONTRACTIONS}|[^\t-\r a-z0-9]+")
+#: No fixed mark and no newer capital is below this.
+HIGH = re.compile("[\u07fd-\U0010ffff]")
+ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+ASTRAL_WORDS, WORDS = (re.compile(rf"[{a}]+|[{b}]|{CONTRACTIONS}|[^{WHITE}{a}{b}]+") for a, b in CLASSES)
+FIXED_MARK = re.compile("([" + "".join("\\U{:0>8}-\\U{:0>8}".format(*x.split("-")) for x in FIXED_MARKS.split()) + "]+)")
+NEWER_CAPITAL = re.compile("[" + "".join(map(chr, NEWER_LOWER)) + "]")
 
 #: Words that a worker keeps before it starts anew, some 150 bytes each, and bytes of text that it encodes at once, which
 #: take some 60 times that for a while; two workers share an executor's memory with its JVM.
 CACHE_WORDS = 150_000
 CHUNK_BYTES = 512 << 10
+#: Ids that a worker decodes at once.
+DECODE_IDS = 1 << 18
 NONE = np.iinfo(np.int32).max
 
 
@@ -43,6 +82,13 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+def composed(text: str) -> str:
+    """The text in the library's normal form: what stands between fixed marks is composed by itself."""
+    if HIGH.search(text) and FIXED_MARK.search(text):
+        return "".join(x if i % 2 else unicodedata.normalize("NFC", x) for i, x in enumerate(FIXED_MARK.split(text)))
+    return unicodedata.normalize("NFC", text)
+
+
 class Codec:
     """Encoder and decoder for one vocabulary file with word ends."""
 
@@ -51,6 +97,9 @@ class Codec:
             spec = json.load(f)
         model = spec["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
+        odd = [x["content"] for x in spec["added_tokens"] if x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"]]
+        if odd:
+            raise ValueError(f"{path}: added tokens that are matched in another way than as they stand: {odd}")
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         every = vocab | self.special
         self.size = max(every.values()) + 1
@@ -134,7 +183,7 @@ class Codec:
 
     def words(self, text: str) -> list[str]:
         """The pre-tokens of a text, special tokens among them as they are."""
-        if "<|" in text and self.split_special.search(text):
+        if any(token in text for token in self.special):
             out, last = [], 0
             for m in self.split_special.finditer(text):
                 out += [*self._plain(text[last : m.start()]), m[0]]
@@ -147,7 +196,13 @@ class Codec:
         if text.isascii():
             return ASCII_WORDS.findall(text.lower())
         # a capital sigma always becomes the inner small one, as lower-casing goes by single characters
-        return WORDS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        text = composed(text).replace("Σ", "σ")
+        if HIGH.search(text):
+            if NEWER_CAPITAL.search(text):
+                text = text.translate(NEWER_LOWER)
+            if ASTRAL.search(text):
+                return ASTRAL_WORDS.findall(text.lower())
+        return WORDS.findall(text.lower())
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and each text's number of ids."""
@@ -211,18 +266,19 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, text: the decoded text of every row of `encode`; null ids give an empty text."""
-    from tidemill.session import ship
-
     ship(encoded.sparkSession)
 
     def run(batches):
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                part = batch.slice(k, 256)
-                lists = [x or [] for x in part.column("ids").to_pylist()]
-                flat = np.array([i for x in lists for i in x], np.int64)
-                texts = codec(path or vocabulary()).decode(flat, np.array([len(x) for x in lists], np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([t.decode() for t in texts], pa.string())], ["doc_id", "text"])
+            lists = batch.column("ids").cast(pa.list_(pa.int64()))
+            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, at = lists.flatten().to_numpy(), np.r_[0, np.cumsum(counts)]
+            i = 0
+            while i < len(batch):  # a run of rows with few ids, or one row
+                j = max(i + 1, int(np.searchsorted(at, at[i] + DECODE_IDS, "right")) - 1)
+                texts = codec(path or vocabulary()).decode(flat[at[i] : at[j]], counts[i:j])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([t.decode() for t in texts], pa.string())], ["doc_id", "text"])
+                i = j
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
