@@ -1,17 +1,19 @@
 """Personal data by weak supervision, in DataFrame operations only.
 
-Candidates are the spans of the four base patterns (whether or not they pass their check) and of a looser pattern for
-each kind. Labelers vote on every candidate: the base rule, a checksum, a gazetteer, the context before it, and the
-candidate's own borders. The votes' patterns are counted over all documents; expectation-maximisation estimates each
-labeler's reliability from these counts; its posteriors train a logistic span classifier over the votes, which is
-compiled into a column expression. Candidates that it accepts, and that don't overlap a base span of their kind, are
-added; base spans always stay.
+Candidates are the spans of the four base patterns (whether or not they pass the contract's check, which makes a base span)
+and of a looser pattern for each kind. Labelers vote on every candidate, each from evidence of its own: the pattern (`shape`:
+the base one, not the loose one), the digits or labels inside (`check`), a gazetteer, the words before it (`cue`), and
+whether it stands free (`border`). The votes' patterns are counted over all documents; expectation-maximisation estimates
+each labeler's reliability from these counts; its posteriors train a logistic span classifier over the votes, which is
+compiled into a column expression. Candidates of either pattern that it accepts, and that don't overlap a base span of
+their kind, are added (loose ones only where no other added one is); base spans always stay.
 
 Patterns match in linear time: every quantifier that can be is possessive, and a match may begin only where a run
 begins or the last match ended. Texts without a kind's marker are not searched. Offsets are code points.
 
 Defined results: null and empty texts have no spans; repeated rows have equal results; with no candidates the classifier
-accepts nothing; other columns are ignored by `spans` and kept by `masked`; an empty table gives no rows.
+accepts nothing; other columns are ignored by `spans` and kept, whatever their names, by `masked`, which judges each row by
+its own text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ LOOSE_MARKS = {"email": r"(?i)[(\[]at[)\]]", "ip": ":[0-9A-Fa-f]{1,4}:", "card":
 #: Gazetteers (top-level domains; first digits of issuers; reserved networks; calling codes) and cue words.
 GAZETTEER = {
     "email": r"(?i)[. )\]](?:com|org|net|edu|gov|io|info|de|fr|es|uk|eu)$",
-    "ip": r"^(?!0\.|255\.)",
+    "ip": r"(?i)^(?:(?!0+\.|255\.)[0-9]+\.|[23][0-9a-f]{3}:|f[cd][0-9a-f]{2}:|fe80:)",
     "card": r"^(?:3[47]|30|36|38|4|5[1-5]|2[2-7]|6)",
     "phone": r"^(?:\+|00)(?:1|2[07]|3[0-69]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])|^\(?[2-9]",
 }
@@ -55,7 +57,7 @@ CUES = {
     "card": r"(?i)(?:card|visa|master ?card|amex|credit|payment|pay)\W{0,12}(?:\w+\W+){0,2}$",
     "phone": r"(?i)(?:phone|tel|call|mobile|fax|cell|dial)\W{0,12}(?:\w+\W+){0,2}$",
 }
-LABELERS = ("base", "check", "gazetteer", "cue", "border")
+LABELERS = ("shape", "check", "gazetteer", "cue", "border")
 CONTEXT = 40
 
 
@@ -64,7 +66,7 @@ def digits(c: Column) -> Column:
 
 
 def valid(kind: str, m: Column) -> Column:
-    """Whether a match passes its kind's check."""
+    """Whether a match of a base pattern passes the contract's check of its kind."""
     d = digits(m)
     if kind == "ip":
         part = lambda p: F.regexp_replace(p, "^0+", "")
@@ -76,8 +78,20 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def sound(kind: str, m: Column, loose: bool) -> Column:
+    """The labeler `check`: what the inside of a candidate says."""
+    if kind == "email":
+        return m.rlike(r"[A-Za-z0-9][^A-Za-z0-9@(\[]*+(?:@|[(\[]at).*[^A-Za-z0-9][A-Za-z]{2,}$")
+    if kind == "ip":
+        return ~m.rlike("^[0:]++$") if loose else valid(kind, m) & ~m.rlike(r"(?:^|\.)0[0-9]")
+    if kind == "phone":
+        d = digits(m)
+        return F.length(d).between(10, 15) & ~d.rlike("^1?[01][0-9]{9}$") if loose else valid(kind, m)
+    return valid(kind, m)
+
+
 def found(text: Column, kind: str, pattern: str, mark: str, loose: bool) -> Column:
-    """The candidates of a pattern: array of (start, end, base, check, gazetteer, cue, border).
+    """The candidates of a pattern: array of (start, end, base, and the labelers' votes).
 
     The text between matches comes from splitting by the pattern, so a match starts after all the lengths before it.
     """
@@ -89,12 +103,12 @@ def found(text: Column, kind: str, pattern: str, mark: str, loose: bool) -> Colu
         def span(m: Column, i: Column) -> Column:
             end = F.get(ends, i + 1)
             before, after = F.right(F.get(gs, i), F.lit(CONTEXT)), F.get(gs, i + 1)
-            ok = valid(kind, m)
             return F.struct(
                 (end - F.length(m)).alias("start"),
                 end.alias("end"),
-                (F.lit(False) if loose else ok).alias("base"),
-                ok.alias("check"),
+                (F.lit(False) if loose else valid(kind, m)).alias("base"),
+                F.lit(not loose).alias("shape"),
+                sound(kind, m, loose).alias("check"),
                 m.rlike(GAZETTEER[kind]).alias("gazetteer"),
                 before.rlike(CUES[kind]).alias("cue"),
                 (~before.rlike(r"[\p{L}0-9]$") & ~after.rlike(r"^[\p{L}0-9]")).alias("border"),
@@ -112,15 +126,13 @@ def found(text: Column, kind: str, pattern: str, mark: str, loose: bool) -> Colu
 
 
 def none_type() -> str:
-    return "array<struct<start:bigint,end:bigint," + ",".join(f"{x}:boolean" for x in LABELERS) + ">>"
+    return "array<struct<start:bigint,end:bigint,base:boolean," + ",".join(f"{x}:boolean" for x in LABELERS) + ">>"
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id and, for each kind, its base-pattern and its loose candidates."""
-    docs = id_text(docs)
-    text = F.col("text")
-    cols = [found(text, k, BASE[k], MARKS[k], False).alias(f"{k}_strict") for k in KINDS]
-    return docs.select("doc_id", *cols, *[found(text, k, LOOSE[k], LOOSE_MARKS[k], True).alias(f"{k}_loose") for k in KINDS])
+def searched(text: Column) -> list[Column]:
+    """For each kind, its base-pattern and its loose candidates, named <kind>_strict and <kind>_loose."""
+    one = [found(text, k, BASE[k], MARKS[k], False).alias(f"{k}_strict") for k in KINDS]
+    return one + [found(text, k, LOOSE[k], LOOSE_MARKS[k], True).alias(f"{k}_loose") for k in KINDS]
 
 
 def counted(found_: DataFrame) -> dict[str, list[tuple[tuple[int, ...], int]]]:
@@ -137,15 +149,19 @@ def counted(found_: DataFrame) -> dict[str, list[tuple[tuple[int, ...], int]]]:
 
 
 def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """Posteriors of vote patterns by expectation-maximisation over labelers that err independently."""
-    q = np.clip(votes.mean(axis=1), 0.05, 0.95)
+    """Posteriors of vote patterns by expectation-maximisation over labelers that err independently. What stands under all
+    the evidence (every vote but the first, `shape`) is there, and what stands under none isn't: these two stay fixed, and
+    one more of each is counted, so that the two classes never change places."""
+    evidence = votes[:, 1:].sum(axis=1)
+    fixed = np.where(evidence == votes.shape[1] - 1, 1.0, np.where(evidence == 0, 0.0, np.nan))
+    q = np.where(np.isnan(fixed), np.clip(votes.mean(axis=1), 0.05, 0.95), fixed)
     for _ in range(rounds):
         prior = np.clip((n @ q + 1) / (n.sum() + 2), 0.01, 0.99)
         hit = ((n * q) @ votes + 2) / ((n * q).sum() + 3)  # smoothed towards voting for what is there
         false = ((n * (1 - q)) @ votes + 1) / ((n * (1 - q)).sum() + 3)
         up = np.log(prior) + votes @ np.log(hit) + (1 - votes) @ np.log(1 - hit)
         down = np.log(1 - prior) + votes @ np.log(false) + (1 - votes) @ np.log(1 - false)
-        q = 1 / (1 + np.exp(np.clip(down - up, -50, 50)))
+        q = np.where(np.isnan(fixed), 1 / (1 + np.exp(np.clip(down - up, -50, 50))), fixed)
     return q
 
 
@@ -176,34 +192,36 @@ def train(found_: DataFrame) -> dict[str, np.ndarray]:
 
 
 def accepted(weights: np.ndarray | None, x: Column) -> Column:
-    """Whether the classifier gives a candidate a probability of over a half. A failed check is never outvoted."""
+    """Whether the classifier gives a candidate a probability of over a half."""
     if weights is None:
         return F.lit(False)
-    z = functools.reduce(lambda a, b: a + b, [F.when(x[v], F.lit(float(w))).otherwise(F.lit(0.0)) for v, w in zip(LABELERS, weights, strict=False)], F.lit(float(weights[-1])))
-    return x["check"] & (z > 0)
+    return functools.reduce(lambda a, b: a + b, [F.when(x[v], F.lit(float(w))).otherwise(F.lit(0.0)) for v, w in zip(LABELERS, weights, strict=False)], F.lit(float(weights[-1]))) > 0
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, base_<kind> and all_<kind> (arrays of start, end in order) for each kind. Trains on `docs`."""
-    got = cut(candidates(docs))
-    models = train(got)
+def overlaps(x: Column, others: Column) -> Column:
+    return F.exists(others, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+
 
-    def pair(x: Column) -> Column:
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"))
+def base_of(kind: str) -> Column:
+    """The base spans (start, end) among <kind>_strict."""
+    return F.transform(F.filter(f"{kind}_strict", lambda x: x["base"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
-    def base_of(kind: str) -> Column:
-        return F.transform(F.filter(f"{kind}_strict", lambda x: x["base"]), pair).alias(f"base_{kind}")
 
-    def more_of(kind: str) -> Column:
-        every = F.concat(f"{kind}_strict", f"{kind}_loose")
-        return F.transform(F.filter(every, lambda x: ~x["base"] & accepted(models.get(kind), x)), pair).alias(f"more_{kind}")
+def all_of(kind: str, weights: np.ndarray | None) -> Column:
+    """The base spans and those that the classifier adds, in order, over <kind>_strict and <kind>_loose."""
+    pair = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))
+    base = base_of(kind)
+    more = F.filter(f"{kind}_strict", lambda x: ~x["base"] & accepted(weights, x) & ~overlaps(x, base))
+    taken = F.concat(base, F.transform(more, pair))
+    loose = F.filter(f"{kind}_loose", lambda x: accepted(weights, x) & ~overlaps(x, taken))
+    return F.array_sort(F.concat(taken, F.transform(loose, pair)))
 
-    def all_of(kind: str) -> Column:
-        clear = F.filter(f"more_{kind}", lambda x: ~F.exists(f"base_{kind}", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        return F.array_sort(F.concat(f"base_{kind}", clear)).alias(f"all_{kind}")
 
-    out = got.select("doc_id", *map(base_of, KINDS), *map(more_of, KINDS))
-    return out.select("doc_id", *[f"base_{k}" for k in KINDS], *map(all_of, KINDS))
+def spans(docs: DataFrame) -> DataFrame:
+    """doc_id, base_<kind> and all_<kind> (arrays of start, end in order) for each kind. Trains on `docs`."""
+    got = cut(id_text(docs).select("doc_id", *searched(F.col("text"))))
+    models = train(got)
+    return got.select("doc_id", *[base_of(k).alias(f"base_{k}") for k in KINDS], *[all_of(k, models.get(k)).alias(f"all_{k}") for k in KINDS])
 
 
 def listed(prefix: str) -> Column:
@@ -216,15 +234,27 @@ def listed(prefix: str) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_<kind> (base spans), base_sha256, spans (all)."""
-    return spans(docs).select("doc_id", *[F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("all").alias("spans"))
+    """doc_id, n_<kind> (base spans), base_sha256, spans (all), n_spans (all)."""
+    return spans(docs).select(
+        "doc_id",
+        *[F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"),
+        listed("all").alias("spans"),
+        sum((F.size(f"all_{k}") for k in KINDS), F.lit(0)).cast("long").alias("n_spans"),
+    )
 
 
 def masked(docs: DataFrame, mask: str = "*") -> DataFrame:
-    """The documents, with all their columns, with the code points of every span replaced. Spans go by doc_id and are
-    applied from the last to the first; rows with one doc_id must have one text."""
-    every = F.reverse(F.array_sort(F.concat(*[f"all_{k}" for k in KINDS])))
-    got = spans(docs.dropDuplicates(["doc_id"])).select(F.col("doc_id").alias("_span_id"), every.alias("_spans"))
-    joined = docs.join(got, docs["doc_id"] == got["_span_id"], "left")
-    text = F.aggregate("_spans", F.col("text"), lambda t, s: F.overlay(t, F.repeat(F.lit(mask), (s["end"] - s["start"]).cast("int")), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
-    return joined.withColumn("text", F.when(F.size("_spans") > 0, text).otherwise(F.col("text"))).drop("_span_id", "_spans")
+    """The documents, with all their columns, with the code points of every span replaced. Trains on `docs`, then
+    searches each row's own text."""
+    models = train(id_text(docs).select(*searched(F.col("text"))))
+    names = [f"_own_{i}" for i in range(len(docs.columns))]  # names of our own, whatever the documents' are
+    place = docs.columns.index("text")
+    mine = docs.toDF(*names)
+    own = F.coalesce(F.col(names[place]), F.lit(""))
+    every = F.reverse(F.array_sort(F.concat(*[all_of(k, models.get(k)) for k in KINDS])))
+    # from the last span to the first, so that places stay
+    text = F.aggregate("_spans", F.col(names[place]), lambda t, s: F.overlay(t, F.repeat(F.lit(mask), (s["end"] - s["start"]).cast("int")), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+    got = mine.select(*names, *searched(own)).select(*names, every.alias("_spans"))
+    cols = [F.when(F.size("_spans") > 0, text).otherwise(F.col(x)) if i == place else F.col(x) for i, x in enumerate(names)]
+    return got.select(*[c.alias(f"_out_{i}") for i, c in enumerate(cols)]).toDF(*docs.columns)
