@@ -52,11 +52,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: source / thousand / doc_id.txt."""
+    """Documents as files: source / thousand / doc_id.txt; a null is `none` there, and its doc_id null."""
     docs = read_table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.expr("doc_id div 1000").cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    name = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
+    path = F.concat_ws("/", name(F.col("source")), name(F.expr("doc_id div 1000")), F.concat(name(F.col("doc_id")), F.lit(".txt")))
     files = license.scan(docs.select(path.alias("path"), "text"))
-    return files.select(F.regexp_extract("path", "([^/]*)[.]txt$", 1).cast("long").alias("doc_id"), "path", "license", "score", "origin", "evidence")
+    return files.select(F.regexp_extract("path", "([^/]*)[.]txt$", 1).try_cast("long").alias("doc_id"), "path", "license", "score", "origin", "evidence")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
