@@ -61,6 +61,25 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+#: What tells a row of documents from all others that aren't equal to it: two hashes of its id and text.
+ROW = ("kx", "ky")
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """kx, ky, doc_id, text: a row's own key, as ids can be null or stand for several texts."""
+    docs = id_text(docs, id_col)
+    return docs.select(F.xxhash64("doc_id", "text").alias("kx"), F.xxhash64(F.lit(1), "doc_id", "text").alias("ky"), "doc_id", "text")
+
+
+#: Most rows of a few numbers that are broadcast for a join; beyond it both sides are shuffled.
+BROADCAST_ROWS = 1 << 20
+
+
+def lookup(table: DataFrame, small: bool) -> DataFrame:
+    """A table of ids for a join: broadcast, if it has been counted to have at most BROADCAST_ROWS rows."""
+    return F.broadcast(table) if small else table
+
+
 def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenation of data[starts[i] : starts[i] + lengths[i]]."""
     ends = np.cumsum(lengths)

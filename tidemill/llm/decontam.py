@@ -7,11 +7,15 @@ shared span of `window` words shares a fingerprint. Document fingerprints are jo
 hit is extended to the whole windows about it, and these are compared word by word. Shorter items use k = their
 length, which keeps every k-gram. Nothing is dropped: equal windows of many items are one entry with many owners.
 
-The index over the benchmark is broadcast when the benchmark has at most `BROADCAST_BYTES` of text. Beyond
-that, fingerprints of both sides meet in a shuffled join, and each document is extended against its candidates.
-
-Defined results: null and empty texts have no words and aren't contaminated; items without words match nothing;
-repeated rows are judged alike; other columns are ignored; empty tables give no rows, or no hits.
+The index over the benchmark is broadcast when the benchmark has at most `BROADCAST_BYTES` of text. Beyond that the same is
+done by joins, with the same result: fingerprints of both sides meet; both sides list their windows about the shared ones;
+windows meet by their text, hot ones where they stand; and a document's hits are the union of its windows' places. Owners of
+a window are a class, and item lists are made once for each set of classes that some document has, so no text
+or list of items is copied to pairs. (A list itself is in one place, as its digest is.)
+
+Defined results: null and empty texts have no words and aren't contaminated; items without words match nothing; rows and
+items with null or shared ids are judged by their own texts, a null item_id being listed as None; repeated rows are judged
+alike; other columns are ignored; empty tables give no rows, or no hits.
 """
 
 from __future__ import annotations
@@ -20,14 +24,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import GOLDEN, chunks, flat_utf8, id_text, map_chunks, mix64
+from tidemill.llm.common import BROADCAST_ROWS, GOLDEN, ROW, chunks, flat_utf8, id_text, join_skewed, keyed, lookup, map_chunks, mix64
 from tidemill.session import cut, ship
 
 WINDOW = 13
 GRAM = 7
+#: The words of a text before lower-casing.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Most bytes of benchmark text whose index is broadcast; an index takes some 40 times its text.
 BROADCAST_BYTES = 8 << 20
 
@@ -197,7 +203,6 @@ REPORT = "n_words long, n_hit long, n_items long, items_sha256 string, contamina
 def report(docs: DataFrame, benchmark: DataFrame, share: int = 20, window: int = WINDOW, gram: int = GRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: a document is contaminated when words of it are hit
     and they are at least one in `share` of its words."""
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = id_text(docs)
     items = id_text(benchmark, "item_id").withColumnRenamed("doc_id", "item_id").dropDuplicates()
@@ -215,25 +220,78 @@ def report(docs: DataFrame, benchmark: DataFrame, share: int = 20, window: int =
     if index_of:
         return map_chunks(docs, lambda part: rows(part, index_of()), f"doc_id {kind}, {REPORT}")
 
-    # the benchmark is large: join the fingerprints, then extend each document against its candidate items. Rows meet by
-    # hashes of their id and text, as ids can be null; rows whose hashes are equal share candidates, which are all compared
-    docs, items = docs.withColumn("_key", F.xxhash64("doc_id", "text")), items.withColumn("_item", F.xxhash64("item_id", "text"))
-    lengths = [r[0] for r in map_chunks(items.select("item_id", "text"), lambda p: _lengths(p, window), "length int").distinct().collect()]
-    mine = map_chunks(items, lambda p: _prints(p, "_item", window, gram, None), "_item long, length int, print long").distinct()
-    theirs = map_chunks(docs, lambda p: _prints(p, "_key", window, gram, lengths), "_key long, length int, print long").distinct()
-    pairs = cut(theirs.join(mine, ["length", "print"]).select("_key", "_item").distinct())
-    candidates = pairs.join(items.withColumn("item_id", F.col("item_id").cast("string")), "_item").select("_key", "item_id", "text")
-    ship(spark)
-
-    def extend(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        index = Index(list(zip(right.column("item_id").to_pylist(), right.column("text").to_pylist(), strict=True)), window, gram)
-        return pa.Table.from_batches([rows(b, index) for b in left.combine_chunks().to_batches()])
-
-    touched = pairs.select("_key").distinct()
-    some = docs.join(touched, "_key", "left_semi").groupBy("_key").cogroup(candidates.groupBy("_key")).applyInArrow(extend, f"doc_id {kind}, {REPORT}")
-    none = Index([], window, gram)
-    rest = map_chunks(docs.join(touched, "_key", "left_anti"), lambda p: rows(p, none), f"doc_id {kind}, {REPORT}")
-    return some.unionByName(rest)
+    # the benchmark is large. Rows go by their own keys, as ids can be null or shared
+    rows_of = cut(keyed(docs).select(*ROW, "doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words")))
+    found = joined(keyed(docs), items, window, gram)
+    table = rows_of.join(lookup(found, found.count() <= BROADCAST_ROWS), list(ROW), "left")
+    n_hit, n_items = (F.coalesce(c, F.lit(0).cast("long")) for c in ("n_hit", "n_items"))
+    bad = (n_hit > 0) & (share * n_hit >= F.col("n_words"))
+    return table.select("doc_id", "n_words", n_hit.alias("n_hit"), n_items.alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), bad.alias("contaminated"))
+
+
+def joined(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
+    """kx, ky, n_hit, n_items, items_sha256 of the documents (kx, ky, text) that hold windows of items (item_id, text)."""
+    items = keyed(items, "item_id").withColumn("item", F.coalesce(F.col("doc_id").cast("string"), F.lit("None")))
+    lengths = [r[0] for r in map_chunks(items.select("text"), lambda p: _lengths(p, window), "length int").distinct().collect()]
+    kinds = "kx long, ky long, length int, print long"
+    mine = map_chunks(items.select(*ROW, "text"), lambda p: _prints(p, window, gram, None), kinds).dropDuplicates()
+    theirs = map_chunks(docs.select(*ROW, "text"), lambda p: _prints(p, window, gram, lengths), kinds).dropDuplicates()
+    on = ["length", "print"]
+    both = mine.groupBy(*on).agg(F.count("*").alias("n_mine")).join(theirs.groupBy(*on).agg(F.count("*").alias("n_theirs")), on)
+    shared = cut(both)
+    windows = _about(items.select(*ROW, "item", "text"), mine, shared, "n_mine", window, gram, None)
+    classes = windows.groupBy("length", "words").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    classes = cut(classes.withColumn("class", F.sha2(F.concat_ws(",", "items").cast("binary"), 256)))
+    places = cut(_about(docs.select(*ROW, F.lit("").alias("item"), "text"), theirs, shared, "n_theirs", window, gram, lengths).dropDuplicates())
+    known = ["length", "words"]
+    held = cut(places.groupBy(*known).agg(F.count("*").alias("n")).join(classes.select(*known, "class"), known))
+    hits = join_skewed(places, held, known, "n")
+    # what a window adds to the places that those before it cover
+    before = Window.partitionBy(*ROW).orderBy("place", "length", "class").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("place") + F.col("length")
+    adds = F.greatest(F.lit(0), end - F.greatest(F.col("place"), F.coalesce(F.max(end).over(before), F.lit(0))))
+    each = hits.withColumn("adds", adds).groupBy(*ROW).agg(F.sum("adds").cast("long").alias("n_hit"), F.array_sort(F.collect_set("class")).alias("has"))
+    each = cut(each.withColumn("combination", F.sha2(F.concat_ws(",", "has").cast("binary"), 256)))
+    lists = each.select("combination", "has").dropDuplicates(["combination"]).select("combination", F.explode("has").alias("class"))
+    lists = lists.join(classes.select("class", "items").dropDuplicates(["class"]), "class").select("combination", F.explode("items").alias("item"))
+    named = lists.groupBy("combination").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    named = named.select("combination", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"))
+    return cut(each.join(named, "combination").select(*ROW, "n_hit", "n_items", "items_sha256"))
+
+
+def _about(rows: DataFrame, prints: DataFrame, shared: DataFrame, n: str, window: int, gram: int, lengths: list[int] | None) -> DataFrame:
+    """kx, ky, item, place, length, words: the windows about shared fingerprints in the rows that have any."""
+    on = ["length", "print"]
+    met = join_skewed(prints, shared.select(*on, n), on, n).groupBy(*ROW).agg(F.collect_set(F.struct(*on)).alias("met"))
+    rows_of = rows.groupBy(*ROW).agg(F.count("*").alias("n_rows"))
+    whole = join_skewed(rows, cut(met.join(rows_of, list(ROW))), list(ROW), "n_rows")
+    return map_chunks(whole.select(*ROW, "item", "text", "met"), lambda p: _windows(p, window, gram, lengths), "kx long, ky long, item string, place long, length int, words binary")
+
+
+def _windows(part: pa.RecordBatch, window: int, gram: int, lengths: list[int] | None) -> pa.RecordBatch:
+    """The windows about the fingerprints in `met`: of all lengths (documents), or of each row's own (items)."""
+    w = Words(part.column("text"))
+    own = np.minimum(w.count, window)
+    met: dict[int, set[int]] = {}
+    for x in part.column("met").flatten().to_pylist():
+        met.setdefault(x["length"], set()).add(x["print"])
+    rows, places, sizes, texts = [], [], [], []
+    for n, prints in met.items():
+        k = n if n < window else min(gram, window)
+        spot, f = w.winnowed(k, n)
+        spot = spot[isin_sorted(f, np.array(sorted(x & 0xFFFFFFFFFFFFFFFF for x in prints), np.uint64))]
+        near = np.unique((spot[:, None] - np.arange(n - k + 1)).ravel())
+        near = near[(near >= 0) & (near + n <= len(w.hash))]
+        near = near[w.row[near] == w.row[near + n - 1]]
+        if lengths is None:
+            near = near[own[w.row[near]] == n]
+        rows.append(w.row[near])
+        places.append(near - w.first[w.row[near]])
+        sizes.append(np.full(len(near), n, np.int32))
+        texts += [w.text(p, p + n) for p in near.tolist()]
+    cat = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
+    who = part.select(["kx", "ky", "item"]).take(pa.array(cat(rows, np.int64)))
+    return pa.RecordBatch.from_arrays([*who.columns, pa.array(cat(places, np.int64), pa.int64()), pa.array(cat(sizes, np.int32), pa.int32()), pa.array(texts, pa.binary())], ["kx", "ky", "item", "place", "length", "words"])
 
 
 def shared_index(items: DataFrame, window: int, gram: int, broadcast_bytes: int):
@@ -263,21 +321,21 @@ def _lengths(part: pa.RecordBatch, window: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(n[n > 0], pa.int32())], ["length"])
 
 
-def _prints(part: pa.RecordBatch, id_col: str, window: int, gram: int, lengths: list[int] | None) -> pa.RecordBatch:
-    """Distinct fingerprints of rows: of all lengths (documents), or each row's own (items)."""
+def _prints(part: pa.RecordBatch, window: int, gram: int, lengths: list[int] | None) -> pa.RecordBatch:
+    """Fingerprints of rows: of all lengths (documents), or of each row's own (items)."""
     w = Words(part.column("text"))
-    ids, sizes, prints = [], [], []
-    for n in lengths or np.unique(np.minimum(w.count[w.count > 0], window)).tolist():
+    rows, sizes, prints = [], [], []
+    for n in lengths if lengths is not None else np.unique(np.minimum(w.count[w.count > 0], window)).tolist():
         spot, f = w.winnowed(n if n < window else min(gram, window), n)
         if lengths is None:
-            keep = np.minimum(w.count[w.row[spot]], window) == n
-            spot, f = spot[keep], f[keep]
-        ids.append(w.row[spot])
+            own = np.minimum(w.count[w.row[spot]], window) == n
+            spot, f = spot[own], f[own]
+        rows.append(w.row[spot])
         sizes.append(np.full(len(f), n, np.int32))
         prints.append(f.view(np.int64))
     cat = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
-    who = part.column(id_col).take(pa.array(cat(ids, np.int64)))
-    return pa.RecordBatch.from_arrays([who, pa.array(cat(sizes, np.int32)), pa.array(cat(prints, np.int64))], [id_col, "length", "print"])
+    who = part.select(["kx", "ky"]).take(pa.array(cat(rows, np.int64)))
+    return pa.RecordBatch.from_arrays([*who.columns, pa.array(cat(sizes, np.int32)), pa.array(cat(prints, np.int64))], ["kx", "ky", "length", "print"])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: int = 20, window: int = WINDOW, gram: int = GRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import GOLDEN, id_text, join_skewed, map_chunks, mix64
+from tidemill.llm.common import BROADCAST_ROWS, GOLDEN, ROW, join_skewed, keyed, lookup, map_chunks, mix64
 from tidemill.llm.decontam import LOWER, Words
 from tidemill.session import cut
 
@@ -41,8 +41,6 @@ R = 4
 MISS = 2e-5
 #: Members of a bucket up to which all its pairs of different components are confirmed.
 SMALL = 16
-#: Most rows of one or two ids that are broadcast for a join; beyond it both sides are shuffled.
-BROADCAST_ROWS = 1 << 20
 
 NOT_BLANK = np.ones(256, bool)
 NOT_BLANK[[32, *range(9, 14)]] = False
@@ -95,16 +93,6 @@ def sketches(h: np.ndarray, sizes: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
-#: What tells a row of documents from all others that aren't equal to it: two hashes of its id and text.
-ROW = ("kx", "ky")
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """kx, ky, doc_id, text."""
-    docs = id_text(docs)
-    return docs.select(F.xxhash64("doc_id", "text").alias("kx"), F.xxhash64(F.lit(1), "doc_id", "text").alias("ky"), "doc_id", "text")
-
-
 def digests(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit digests of each row's set."""
     at = np.r_[0, np.cumsum(sizes)]
@@ -173,11 +161,6 @@ def tensored(reps: DataFrame, labels: DataFrame, m: int, small: bool) -> tuple[D
     return cut(in_mixed(keys, "comp")), cut(both.where(many("left") & many("right")).select("rep", "comp"))
 
 
-def lookup(table: DataFrame, small: bool) -> DataFrame:
-    """A table of ids for a join: broadcast, if it has been counted to have at most BROADCAST_ROWS rows."""
-    return F.broadcast(table) if small else table
-
-
 def few(table: DataFrame, small: bool) -> DataFrame:
     """A table that is known to be small in as many partitions as there are cores, so that a step over it is few tasks."""
     return table.coalesce(table.sparkSession.sparkContext.defaultParallelism) if small else table
