@@ -65,3 +65,14 @@ def pairs(df):
 
 def dumps(x):
     return json.dumps(x, sort_keys=True, default=str)
+
+
+@pytest.fixture(scope="session")
+def strange_docs(spark):
+    """Rows without an id, one id with two texts, exact repeats, and columns named like those that operators make."""
+    a, b, c = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight", "mail joe@x.org or 10.0.0.1 today please"
+    lines = "first line of some length\nsecond line of some length"
+    rows = [(None, a), (None, a), (None, b), (None, None), (5, a), (5, b), (5, b), (6, lines), (7, lines + "\nthird line of some length"), (None, lines), (8, None), (8, ""), (9, c), (9, c + " now"), (None, c), (10, "Released under the MIT License.")]
+    names = ["_drop", "_drop_id", "_spans", "_span_id", "_kx", "_ky", "_id", "_bad_text", "key", "rep", "set", "ids", "kx", "h", "v", "met", "path"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names)
+    return spark.createDataFrame([(i, t, "en" if j % 3 else None, f"s{j % 2}" if j % 5 else None, len(t or ""), *range(len(names))) for j, (i, t) in enumerate(rows)], schema)

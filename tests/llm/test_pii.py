@@ -75,7 +75,8 @@ def brute_spans(rows):
     cand = {}
     for i, t in rows:
         t = t or ""
-        cand[i, t] = {k: [(m.start(), m.end(), votes(k, m, t, False), passes(k, m[0])) for m in matches(p, t)] + [(m.start(), m.end(), votes(k, m, t, True), False) for m in matches(re.compile(pii.LOOSE[k]), t)] for k, p in BASE.items()}
+        strict = BASE | {"card": re.compile(r"[0-9]([\x20-]?[0-9]){12,}")}  # shorter ones are no candidates
+        cand[i, t] = {k: [(m.start(), m.end(), votes(k, m, t, False), passes(k, m[0])) for m in matches(p, t)] + [(m.start(), m.end(), votes(k, m, t, True), False) for m in matches(re.compile(pii.LOOSE[k]), t)] for k, p in strict.items()}
     weights = {}
     for k in BASE:
         n = Counter(c[2] for i, t in rows for c in cand[i, t or ""][k])
@@ -147,6 +148,18 @@ def test_em_finds_the_reliable_labeler():
     assert w[0] > w[2] > w[3]
 
 
+def test_sums_before(spark):
+    got = spark.range(1).select(*[pii.sums_before(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: x.cast("bigint"))).alias(f"n{n}") for n in (1, 511, 512, 513, 2000)], pii.sums_before(F.array().cast("array<bigint>")).alias("n0")).first()
+    for n in (0, 1, 511, 512, 513, 2000):
+        assert got[f"n{n}"] == [i * (i + 1) // 2 for i in range(n + 1)]
+
+
+def test_very_many_matches(spark):
+    text = "10.0.0.1; 4111 1111 1111 1111, " * 40_000
+    got = pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got["n_ip"], got["n_card"]) == (40_000, 40_000) and got["spans"].startswith("ip:0:8,ip:31:39,")
+
+
 def test_masked(spark, odd_docs):
     df = spark.createDataFrame([(1, "é joe@x.org and 10.0.0.1!", 7), (2, None, 8)], "doc_id long, text string, other int")
     got = {r["doc_id"]: (r["text"], r["other"]) for r in pii.masked(df).collect()}

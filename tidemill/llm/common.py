@@ -34,23 +34,23 @@ def flat_utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most `limit` bytes of text, or one row."""
+def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most `limit` bytes of text and `rows` rows, or one row."""
     _, at = flat_utf8(batch.column(column))
     i = 0
     while i < len(batch):
-        j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1))
         yield batch.slice(i, j - i)
         i = j
 
 
-def map_chunks(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = CHUNK_BYTES) -> DataFrame:
+def map_chunks(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = CHUNK_BYTES, rows: int = 1 << 30) -> DataFrame:
     """`kernel` on every bounded chunk of `df`, which has a column text."""
     ship(df.sparkSession)
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, limit=limit):
+            for part in chunks(batch, limit=limit, rows=rows):
                 yield kernel(part)
 
     return df.mapInArrow(run, schema)

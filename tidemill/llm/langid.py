@@ -8,8 +8,9 @@ than a floor. From `LONG` distinct grams on, that is `LONG_FLOOR` of the least c
 sample reach; texts with fewer (short ones, or a few words repeated) have lower floors, down to `FLOOR` of the least of all
 texts of the sample, as their cosines scatter.
 
-The sample: about `SAMPLE` texts a language, chosen by a hash of their id, whole texts. Document frequencies: all
-training texts. Defined results: null texts and texts without letters are `und` with score 0 and rejected; repeated rows
+The sample: about `SAMPLE` distinct texts a language, chosen by a hash of id and text, whole texts; each language's are clustered
+in one task, and only its centroids and floors come to the driver. Document frequencies: all training texts. More than
+`MOST_LANGS` different values of lang are an error, as such a column isn't one of languages. Defined results: null texts and texts without letters are `und` with score 0 and rejected; repeated rows
 and ties go alike (the first centroid in the order of languages); without training rows all are `und`; other columns
 are ignored by `predict` and kept by `keep`.
 """
@@ -21,11 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import id_text, map_chunks
+from tidemill.llm.common import chunks, id_text, map_chunks
 from tidemill.session import ship
 
 DIMS = 4096
 SAMPLE = 400
+MOST_LANGS = 4096
+#: Bytes of text and rows that a worker holds at once; a row's counts take 16 KB, whatever its length.
+CHUNK_BYTES, CHUNK_ROWS = 256 << 10, 256
 CENTROIDS = 4
 #: A text is rejected under this share of the least cosine that its language's own sample reaches: the shortest texts
 FLOOR = 0.25
@@ -133,7 +137,9 @@ def train(docs: DataFrame, use: Column | None = None, sample: int = SAMPLE, cent
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.where(use) if use is not None else rows
     rows = rows.select("doc_id", F.col("text"), "lang")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} values of lang")
     if not sizes:
         return Model(np.ones(DIMS), [], np.zeros((0, DIMS)), np.zeros(0, int), np.zeros((0, 2)))
 
@@ -142,8 +148,8 @@ def train(docs: DataFrame, use: Column | None = None, sample: int = SAMPLE, cent
     def frequencies(batches):
         n, df = 0, np.zeros(DIMS, np.int64)
         for batch in batches:
-            for k in range(0, len(batch), 64):
-                counts, letters_of = gram_counts(batch.column("text").slice(k, 64).to_pylist())
+            for part in chunks(batch, limit=CHUNK_BYTES, rows=CHUNK_ROWS):
+                counts, letters_of = gram_counts(part.column("text").to_pylist())
                 n += int((letters_of > 0).sum())
                 df += (counts > 0).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array([[n, *df.tolist()]], pa.list_(pa.int64()))], ["df"])
@@ -156,30 +162,39 @@ def train(docs: DataFrame, use: Column | None = None, sample: int = SAMPLE, cent
         total[r["pos"]] = r["n"]
     idf = np.log((1 + total[0]) / (1 + total[1:])) + 1
 
-    at = F.xxhash64(F.col("doc_id"), F.lit("langid sample")).bitwiseAND(F.lit((1 << 30) - 1))
+    at = F.xxhash64("doc_id", "text", F.lit("langid sample"))
     share = F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(int(min(1.0, sample / n) * (1 << 30))))])
+    taken = rows.withColumn("h", at).where(F.col("h").bitwiseAND(F.lit((1 << 30) - 1)) < share[F.col("lang")]).dropDuplicates(["lang", "h"]).select("lang", "h", "text")
 
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
         counts, n = gram_counts(part.column("text").to_pylist())
         v = [x.tobytes() if k else None for x, k in zip(vectors(counts, idf).astype(np.float16), n.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(v, pa.binary()), pa.array((counts > 0).sum(axis=1) >= LONG)], ["doc_id", "lang", "v", "long"])
-
-    taken = map_chunks(rows.where(at < share[F.col("lang")]), kernel, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, v binary, long boolean").where("v is not null")
-    by: dict[str, list[tuple]] = {}
-    for r in taken.toLocalIterator():
-        by.setdefault(r["lang"], []).append((r["doc_id"], bytes(r["v"]), r["long"]))
-    langs, centres, owner, least = [], [], [], []
-    for lang in sorted(by):
-        by[lang].sort()
-        v = np.stack([np.frombuffer(x, np.float16).astype(np.float32) for _, x, _ in by[lang]])
-        own = clustered(v, centroids)
-        langs.append(lang)
-        centres.append(own)
-        owner += [len(langs) - 1] * len(own)
-        cosine, is_long = (v @ own.T).max(axis=1), np.array([x for *_, x in by[lang]])
-        short = floor * float(cosine.min())
-        least.append((short, max(short, LONG_FLOOR * float(cosine[is_long].min())) if is_long.any() else short))
-    return Model(idf.astype(np.float32), langs, np.concatenate(centres).astype(np.float32), np.array(owner), np.array(least))
+        return pa.RecordBatch.from_arrays([part.column("lang"), part.column("h"), pa.array(v, pa.binary()), pa.array((counts > 0).sum(axis=1) >= LONG)], ["lang", "h", "v", "long"])
+
+    def cluster(table: pa.Table) -> pa.Table:
+        lang, centres, least = fit(table, centroids, floor)
+        flat = centres.astype(np.float32).ravel()
+        return pa.table({"lang": pa.array([lang], pa.string()), "centres": pa.array([flat.tolist()], pa.list_(pa.float32())), "least": pa.array([list(least)], pa.list_(pa.float64()))})
+
+    embedded = map_chunks(taken, kernel, "lang string, h long, v binary, long boolean", CHUNK_BYTES, CHUNK_ROWS).where("v is not null")
+    found = sorted(embedded.groupBy("lang").applyInArrow(cluster, "lang string, centres array<float>, least array<double>").collect())
+    langs, centres, owner, least = [], [np.zeros((0, DIMS), np.float32)], [], []
+    for r in found:
+        centres.append(np.array(r["centres"], np.float32).reshape(-1, DIMS))
+        owner += [len(langs)] * len(centres[-1])
+        langs.append(r["lang"])
+        least.append(r["least"])
+    return Model(idf.astype(np.float32), langs, np.concatenate(centres), np.array(owner, np.int64), np.array(least).reshape(-1, 2))
+
+
+def fit(table: pa.Table, centroids: int = CENTROIDS, floor: float = FLOOR) -> tuple[str, np.ndarray, tuple[float, float]]:
+    """One language's centroids and floors from its sample (lang, h, v, long), in the order of h."""
+    table = table.sort_by("h")
+    v = np.stack([np.frombuffer(x, np.float16).astype(np.float32) for x in table.column("v").to_pylist()])
+    own = clustered(v, centroids)
+    cosine, is_long = (v @ own.T).max(axis=1), np.array(table.column("long").to_pylist())
+    short = floor * float(cosine.min())
+    return table.column("lang")[0].as_py(), own, (short, max(short, LONG_FLOOR * float(cosine[is_long].min())) if is_long.any() else short)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -191,7 +206,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         lang, score, rejected = shared.value.predict(part.column("text").to_pylist())
         return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return map_chunks(df, kernel, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean", limit=256 << 10)
+    return map_chunks(df, kernel, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean", CHUNK_BYTES, CHUNK_ROWS)
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
@@ -199,11 +214,11 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
+    column = docs.columns[place]
 
     def run(batches):
         for batch in batches:
-            for k in range(0, len(batch), 64):
-                part = batch.slice(k, 64)
+            for part in chunks(batch, column, CHUNK_BYTES, CHUNK_ROWS):
                 _, _, rejected = shared.value.predict([t or "" for t in part.column(place).to_pylist()])
                 yield part.filter(pa.array(~rejected))
 

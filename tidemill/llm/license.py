@@ -280,7 +280,7 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshol
     """path, license, score, origin (header, directory or null), evidence (the header, or the licence file's path), for
     every row of `files` (path, text), whatever its other columns."""
     ship(files.sparkSession)
-    files = files.select("path", F.coalesce("text", F.lit("")).alias("text"))
+    files = files.select(F.col("path").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
     model = frequencies(files, templates)
     name = F.element_at(F.split(F.coalesce("path", F.lit("")), "/"), -1)
     files = files.withColumn("named", name.rlike(FILE_NAME))

@@ -6,7 +6,8 @@ are at least `min_docs`. Only hashes over the threshold go back to the (document
 lines by broadcast (there are ten thousand at most); the documents that lose lines are then reassembled in line order.
 
 Defined results: a null or empty text is one empty line, which is too short to be a key; rows with one doc_id are one
-document; repeated lines in the keeping document stay; empty tables give no rows; other columns ride along in `dedup`.
+document; a row without an id counts as no document and keeps all its lines; repeated lines in the keeping document stay;
+empty tables give no rows; other columns, whatever their names, ride along in `dedup`.
 """
 
 from __future__ import annotations
@@ -83,14 +84,15 @@ def dedup(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int = 2) -> D
     """The documents, with all their columns, without the lines that go; n_chars, if there, follows the text.
     Rows that lose nothing are passed on as they are (a null text stays null)."""
     ship(docs.sparkSession)
-    gone = drops(id_text(docs), min_length, min_docs).withColumnRenamed("doc_id", "_drop_id").withColumnRenamed("drop", "_drop")
-    joined = docs.join(gone, docs["doc_id"] == gone["_drop_id"], "left").drop("_drop_id")
-    names = docs.columns
-    place, last = names.index("text"), len(names)
+    names, last = docs.columns, len(docs.columns)
+    place = names.index("text")
+    own = [f"_own_{i}" for i in range(last)]  # names of our own, whatever the documents' are
+    gone = drops(id_text(docs), min_length, min_docs).select(F.col("doc_id").alias("_id"), F.col("drop").alias("_drop"))
+    joined = docs.toDF(*own).join(gone, F.col(own[names.index("doc_id")]) == F.col("_id"), "left").select(*own, "_drop")
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, own[place]):
                 view = pa.RecordBatch.from_arrays([part.column(place).fill_null(""), part.column(last)], ["text", "drop"])
                 texts = [old if drop is None else "\n".join(kept) for old, drop, (_, kept) in zip(part.column(place).to_pylist(), view.column("drop").to_pylist(), _lines(view, min_length), strict=True)]
                 cols = [part.column(i) for i in range(last)]

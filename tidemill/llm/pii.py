@@ -33,7 +33,8 @@ KINDS = ("email", "ip", "card", "phone")
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    # a run of digits is one match, and one of fewer than 13 fails anyway
+    "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
@@ -42,7 +43,7 @@ LOOSE = {
     "card": r"(?<![0-9])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
     "phone": r"(?<![0-9+])(?:00[1-9][0-9]{0,2}[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
-MARKS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
+MARKS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9](?:[ -]?[0-9]){12}", "phone": r"\+[0-9]"}
 LOOSE_MARKS = {"email": r"(?i)[(\[]at[)\]]", "ip": ":[0-9A-Fa-f]{1,4}:", "card": "[0-9]{4}[./_][0-9]{4}", "phone": "[0-9]{3}[ .-][0-9]{4}"}
 #: Gazetteers (top-level domains; first digits of issuers; reserved networks; calling codes) and cue words.
 GAZETTEER = {
@@ -118,13 +119,36 @@ def found(text: Column, kind: str, pattern: str, mark: str, loose: bool) -> Colu
 
     def ends_of(x: Column) -> Column:
         steps = F.transform(x["ms"], lambda m, i: (F.length(m) + F.length(F.get(x["gs"], i))).cast("bigint"))
-        return F.aggregate(steps, F.array(F.lit(0).cast("bigint")), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        return F.element_at(F.transform(F.array(steps), sums_before), 1)
 
     # one-element arrays bind what is used for every match, so that it is computed once
     once = F.transform(F.array(F.struct(matches.alias("ms"), gaps.alias("gs"))), lambda x: F.struct(x["ms"].alias("ms"), x["gs"].alias("gs"), ends_of(x).alias("ends")))
     return F.when(text.rlike(mark), F.flatten(F.transform(once, candidates)).cast(none_type())).otherwise(F.array().cast(none_type()))
 
 
+#: Appending to an array copies it, so prefix sums go by runs of this many numbers.
+RUN = 512
+
+
+def sums_before(steps: Column) -> Column:
+    """The sums of the first 0, 1, 2, ... numbers of an array."""
+    zero = F.lit(0).cast("bigint")
+
+    def prefix(xs: Column, first: Column) -> Column:
+        return F.aggregate(xs, F.array(first), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+
+    def total(xs: Column) -> Column:
+        return F.aggregate(xs, zero, lambda a, n: a + n)
+
+    def joined(x: Column) -> Column:
+        offsets = F.transform(F.array(prefix(F.transform(x["runs"], total), zero)), lambda o: F.struct(o.alias("o"), x["runs"].alias("runs")))
+        return F.flatten(F.transform(offsets, lambda y: F.flatten(F.transform(y["runs"], lambda r, i: F.slice(prefix(r, F.get(y["o"], i)), 2, RUN)))))
+
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(steps) - 1, F.lit(0)), F.lit(RUN)), lambda i: F.slice(steps, i + 1, RUN))
+    after = F.transform(F.array(F.struct(runs.alias("runs"))), joined)
+    return F.concat(F.array(zero), F.flatten(after))
+
+
 def none_type() -> str:
     return "array<struct<start:bigint,end:bigint,base:boolean," + ",".join(f"{x}:boolean" for x in LABELERS) + ">>"
 
@@ -211,7 +235,7 @@ def all_of(kind: str, weights: np.ndarray | None) -> Column:
     """The base spans and those that the classifier adds, in order, over <kind>_strict and <kind>_loose."""
     pair = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))
     base = base_of(kind)
-    more = F.filter(f"{kind}_strict", lambda x: ~x["base"] & accepted(weights, x) & ~overlaps(x, base))
+    more = F.filter(f"{kind}_strict", lambda x: ~x["base"] & accepted(weights, x))  # a pattern's matches don't overlap
     taken = F.concat(base, F.transform(more, pair))
     loose = F.filter(f"{kind}_loose", lambda x: accepted(weights, x) & ~overlaps(x, taken))
     return F.array_sort(F.concat(taken, F.transform(loose, pair)))

@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample:
     chosen = rows.orderBy(F.xxhash64("doc_id", F.lit("quality sample")), "doc_id", "quality").limit(sample)
     chosen = chosen.select(F.col("doc_id").alias("_id"), "quality")
     # at most `sample` pairs of numbers are broadcast
-    met = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     names = list(statistics(F.lit("")))
     got = sorted(described(met, F.col("quality")).collect())
     return fitted(names, np.array([r[2:] for r in got], np.float64).reshape(-1, len(names)), np.array([r[1] for r in got], np.float64))

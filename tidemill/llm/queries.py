@@ -35,16 +35,21 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def held_out(n: int, m: int):
+    """Whether a row's remainder mod n is m. A row without an id has none: it isn't held out, nor learned from."""
+    return F.coalesce(remainder(n) == m, F.lit(False)).alias("held_out")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     model = quality.train(docs, labels, remainder(3) != 1)
-    return quality.predict(docs, model).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
+    return quality.predict(docs, model).select("doc_id", held_out(3, 1), "score", "predicted")
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = langid.train(docs, remainder(4) != 2)
-    return langid.predict(docs, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return langid.predict(docs, model).select("doc_id", held_out(4, 2), "lang_pred", "score", "rejected")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

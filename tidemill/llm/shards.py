@@ -5,7 +5,7 @@ Within each source rows are ranked in a seeded pseudo-random order (by the MD5 o
 shard holds nearly the same share of every source, and row counts differ by one at most (the law `rows`).
 
 Neither order needs one task: ranks are counted within hash buckets of a source, of some `BUCKET_ROWS` rows (a source
-with a third of all rows has as many buckets as it needs, up to `MOST_BUCKETS`), plus the sizes of the buckets
+with a third of all rows has as many buckets as it needs, up to `MOST_BUCKETS`, and is never dealt by source alone), plus the sizes of the buckets
 before; likewise for positions. Texts are read once and not shuffled.
 
 Defined results: a null text has size 8 and the checksum of an empty one; a null source is a source of its own; rows
@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import join_skewed
 from tidemill.session import cut
 
 BUCKET_ROWS = 1000
@@ -47,7 +48,8 @@ def assign(docs: DataFrame, n_shards: int, seed: int = 7, id_col: str = "doc_id"
     counts = cut(rows.groupBy("stratum").agg(F.count("*").alias("n_s")))
     total, strata = counts.agg(F.coalesce(F.sum("n_s"), F.lit(0)), F.count("*")).first()
     buckets = lambda n: F.least(F.lit(MOST_BUCKETS), F.ceil(n / BUCKET_ROWS)).cast("long")
-    sized = rows.join(F.broadcast(counts) if strata * 16 <= BROADCAST_BYTES else counts, "stratum")
+    # with very many sources the large ones, of which there are few, still take their count where their rows stand
+    sized = rows.join(F.broadcast(counts), "stratum") if strata * 16 <= BROADCAST_BYTES else join_skewed(rows, counts, ["stratum"], "n_s")
     # the leading 32 bits of the hash, scaled: buckets are in the order of the hash
     lead = F.conv(F.substring("h", 1, 8), 16, 10).cast("long")
     sized = sized.withColumn("bucket", F.shiftright(lead * buckets(F.col("n_s")), 32))
