@@ -59,6 +59,11 @@ class Block:
         self.rows = by.T.ravel()
         self.values = np.take_along_axis(self.v, by, axis=0).T.ravel().astype(np.float64)
         self.starts = np.arange(dims) * n
+        # one key for dimension and impact, so that one search finds the places in all lists
+        self.low, self.high = (int(f(self.v)) if self.v.size else 0 for f in (np.min, np.max))
+        self.span = self.high - self.low + 2
+        whole = self.span * max(1, dims) < 1 << 62
+        self.keys = np.repeat(np.arange(dims) * self.span, n) + (np.take_along_axis(self.v, by, axis=0).T.ravel() - self.low) if whole else None
         self.norms = (self.v.astype(np.float64) ** 2).sum(axis=1)
         self.size = math.sqrt(self.norms.mean()) if n else 0.0
         self.most = np.abs(self.v).max(axis=0) if n else np.zeros(dims, np.int64)
@@ -66,6 +71,9 @@ class Block:
 
     def places(self, dims: np.ndarray, value: np.ndarray) -> np.ndarray:
         """The first posting of each dimension whose impact is at least `value`."""
+        if self.keys is not None:
+            at = np.clip(value, self.low, self.high + 1).astype(np.int64) - self.low
+            return np.searchsorted(self.keys, dims * self.span + at)
         n = len(self.ids)
         return np.array([s + np.searchsorted(self.values[s : s + n], x) for s, x in zip(self.starts[dims].tolist(), value.tolist(), strict=True)], np.int64)
 
