@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -30,14 +31,27 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one only where that is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where that is unset, a local master gets a folder of its own;
+    on a cluster no folder of one machine would do."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemill-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that all machines of {sc.master} share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="tidemill-"))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and go on from there."""
+    """Write `df` to the shared checkpoint folder and go on from there. Keeps its partitioning and order, and also the
+    size that the optimizer has estimated for it."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared checkpoint folder, for what loops: the optimizer then knows its real size. After
+    `cut` it goes on with its estimate, which multiplies with each join: after some dozens that number alone fills a driver."""
+    at = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
