@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemill.llm import bpe, decontam, langid, license, linededup, neardup, pii, quality, shards
+from tidemill.llm import bpe, common, decontam, langid, license, linededup, neardup, pii, quality, shards
 from tidemill.llm import queries as q
 
 from .conftest import shingle_set
@@ -83,7 +83,7 @@ def test_many_sources_give_the_same_shards(spark, monkeypatch):
     docs = spark.range(700).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") < 300, "hot").otherwise(F.col("id").cast("string")).alias("source"))
     want = bag(shards.assign(docs, 7))
     monkeypatch.setattr(shards, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr("tidemill.llm.common.HOT_KEYS", 10)
+    monkeypatch.setattr("tidemill.llm.common.HOT_ROWS", 10)
     assert bag(shards.assign(docs, 7)) == want
 
 
@@ -165,3 +165,11 @@ def test_one_very_long_text(spark, tmp_path):
     assert got["op2_decontamination"][1]["n_hit"] == 30 and got["op2_decontamination"][1]["n_words"] == 3_600_004
     assert got["op10_pii"][1]["n_email"] == 1 and got["op8_line_dedup"][1]["n_lines"] == 2
     assert got["op3_minhash"][1]["n_shingles"] > 3_500_000
+
+
+@pytest.mark.parametrize("least", [1000, 2])
+def test_skewed_joins_equal_plain_ones(spark, monkeypatch, least):
+    monkeypatch.setattr(common, "HOT_ROWS", least)
+    rows = spark.range(500).select((F.col("id") % F.when(F.col("id") < 300, 1).otherwise(37)).alias("k"), "id")
+    table = rows.where("k != 5").groupBy("k").agg(F.count("*").alias("n"))
+    assert bag(common.join_skewed(rows, table, ["k"], "n").select("k", "id", "n")) == bag(rows.join(table, "k").select("k", "id", "n"))

@@ -87,18 +87,22 @@ def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return data[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
 
 
-#: A key is hot from this part of all rows on, so there are at most this many hot keys.
+#: A key is hot from this part of all rows on, so there are at most this many hot keys; fewer rows are no burden to a task.
 HOT_KEYS = 10_000
+HOT_ROWS = 1000
 
 
 def join_skewed(rows: DataFrame, table: DataFrame, on: list[str], n: str) -> DataFrame:
     """rows INNER JOIN table, where `table` has each key once with the number `n` of its rows in `rows`.
 
     Hot keys, those with a ten-thousandth of the rows or more, are ten thousand at most, so their part of the table is
-    broadcast and their rows stay where they are; no other key is large enough to make a partition uneven.
+    broadcast and their rows stay where they are; no other key is large enough to make a partition uneven. Without hot keys
+    it is a plain join.
     """
-    total = table.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
-    hot = F.col(n) * HOT_KEYS >= total
+    total, most = table.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    if most < HOT_ROWS or most * HOT_KEYS < total:
+        return rows.join(table, on)
+    hot = (F.col(n) * HOT_KEYS >= total) & (F.col(n) >= HOT_ROWS)
     few = table.where(hot)
     rest = rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(table.where(~hot), on)
     return rows.join(F.broadcast(few), on).unionByName(rest)

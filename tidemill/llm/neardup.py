@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import BROADCAST_ROWS, GOLDEN, ROW, join_skewed, keyed, lookup, map_chunks, mix64
 from tidemill.llm.decontam import LOWER, Words
-from tidemill.session import cut
+from tidemill.session import cut, stored
 
 R = 4
 MISS = 2e-5
@@ -128,7 +128,7 @@ def mixed(table: DataFrame, label: str, *more) -> DataFrame:
 
 def in_mixed(table: DataFrame, label: str) -> DataFrame:
     """The rows of `table` whose key has more than one `label`."""
-    return join_skewed(table, cut(mixed(table, label).select("key", "_n")), ["key"], "_n").drop("_n")
+    return join_skewed(table, stored(mixed(table, label).select("key", "_n")), ["key"], "_n").drop("_n")
 
 
 def diagonal(reps: DataFrame, m: int) -> DataFrame:
@@ -150,15 +150,15 @@ def tensored(reps: DataFrame, labels: DataFrame, m: int, small: bool) -> tuple[D
     named = reps.join(lookup(labels, small), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     parts = parts_of(named)
     sizes = parts.groupBy("t", "value").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.count("*").alias("size")).where("_a != _b")
-    shared = cut(sizes.select("t", "value", "size"))
+    shared = stored(sizes.select("t", "value", "size"))
     live = join_skewed(parts, shared, ["t", "value"], "size").groupBy("rep", "n", "comp").agg(F.collect_list(F.struct("t", "value", (F.col("size") <= SMALL).alias("few"))).alias("live"))
     left, right = F.filter("live", lambda x: x["t"] < m), F.filter("live", lambda x: x["t"] >= m)
-    both = cut(live.where((F.size(left) > 0) & (F.size(right) > 0)).select("rep", "n", "comp", left.alias("left"), right.alias("right")))
+    both = stored(live.where((F.size(left) > 0) & (F.size(right) > 0)).select("rep", "n", "comp", left.alias("left"), right.alias("right")))
     wanted = both.select("rep", "n", "comp", F.explode("left").alias("l"), "right").withColumn("right", F.filter("right", lambda x: F.col("l.few") | x["few"]))
     keys = wanted.select("rep", "n", "comp", "l", F.explode("right").alias("r"))
     keys = keys.select("rep", "n", "comp", F.xxhash64("l.t", "l.value", "r.t", "r.value").alias("key"))
     many = lambda c: F.exists(c, lambda x: ~x["few"])
-    return cut(in_mixed(keys, "comp")), cut(both.where(many("left") & many("right")).select("rep", "comp"))
+    return stored(in_mixed(keys, "comp")), stored(both.where(many("left") & many("right")).select("rep", "comp"))
 
 
 def few(table: DataFrame, small: bool) -> DataFrame:
@@ -170,7 +170,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """rep, comp: `labels` after joining the components that `links` (a, b: representatives) connect.
 
     Minimum-label propagation over the graph of components with pointer jumping; only the components that links touch
-    take part, and each step's table is cut in the shared folder.
+    take part, and each step's table is written to the shared folder.
     """
     n = links.count()
     if not n:
@@ -181,16 +181,16 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     near = labels.join(lookup(ends.distinct(), small), "rep", "left_semi")
     la, lb = (near.select(F.col("rep").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
     edges = links.join(lookup(la, small), "a").join(lookup(lb, small), "b").where("ca != cb").select(F.explode(F.array(F.struct(F.col("ca").alias("u"), F.col("cb").alias("v")), F.struct(F.col("cb").alias("u"), F.col("ca").alias("v")))).alias("e"))
-    both = cut(few(edges.select("e.*").distinct(), small))
-    nodes = cut(few(both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("p")), small))
+    both = stored(few(edges.select("e.*").distinct(), small))
+    nodes = stored(few(both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("p")), small))
     while True:
         # the least label among a node's own and its neighbours', then that label's own label
         asked = both.join(lookup(nodes.select(F.col("u").alias("v"), F.col("p").alias("q")), small), "v").select("u", "q", F.lit(None).cast(nodes.schema["p"].dataType).alias("p"))
         every = asked.unionByName(nodes.select("u", F.col("p").alias("q"), "p"))
-        step = cut(few(every.groupBy("u").agg(F.min("q").alias("n"), F.min("p").alias("p")), small))
+        step = stored(few(every.groupBy("u").agg(F.min("q").alias("n"), F.min("p").alias("p")), small))
         jump = step.select(F.col("u").alias("n"), F.col("n").alias("nn"))
         after = step.join(lookup(jump, small), "n", "left").select("u", F.least("n", F.coalesce("nn", "n")).alias("n"), "p")
-        after = after if small else cut(after)
+        after = after if small else stored(after)
         moved = after.where("n != p").limit(1).count()
         nodes = after.select("u", F.col("n").alias("p"))
         if not moved:
@@ -248,7 +248,7 @@ class Linker:
 
     def current(self, table: DataFrame) -> DataFrame:
         """`table` (key, rep, ...) with the components. A table that has them already is as fresh as the labels."""
-        return table if "comp" in table.columns else cut(table.join(lookup(self.labels, self.small), "rep"))
+        return table if "comp" in table.columns else stored(table.join(lookup(self.labels, self.small), "rep"))
 
     def confirm(self, met: DataFrame, sets: DataFrame) -> None:
         """Test pairs (rep, other, n, m) whose sizes allow a link."""
@@ -256,21 +256,21 @@ class Linker:
         pairs = allowed.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
         if self.done is not None:
             pairs = pairs.join(self.done, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        self.labels = cut(few(merged(self.labels, cut(confirmed(pairs, sets, self.percent))), self.small))
+        pairs = stored(pairs)
+        self.labels = stored(few(merged(self.labels, stored(confirmed(pairs, sets, self.percent))), self.small))
         self.done = pairs if self.done is None else self.done.unionByName(pairs)
 
     def star(self, table: DataFrame, sets: DataFrame, first) -> None:
         """The members of every bucket with two components meet the member that is least by the column `first`."""
         left = self.current(table)
         least = F.min(F.struct(first.alias("_o"), F.col("rep").alias("other"), F.col("n").alias("m"), F.col("comp").alias("_c"), *self.places(left, "_j")))
-        hubs = cut(mixed(left, "comp", least.alias("h")).select("key", "_n", "h.*"))
+        hubs = stored(mixed(left, "comp", least.alias("h")).select("key", "_n", "h.*"))
         self.confirm(self.within(join_skewed(left, hubs, ["key"], "_n").where("comp != _c")), sets)
 
     def every_pair(self, table: DataFrame, sets: DataFrame) -> None:
         """All pairs of different components in every bucket that has two."""
         left = self.current(table)
-        left = left if left is table else cut(in_mixed(left, "comp"))
+        left = left if left is table else stored(in_mixed(left, "comp"))
         right = left.select("key", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("comp").alias("_c"), *self.places(left, "_j"))
         bound = self.bound if "i" in left.columns else F.lit(True)
         met = left.join(right, (left["key"] == right["key"]) & (F.col("rep") < F.col("other")) & (F.col("comp") != F.col("_c")) & bound)
@@ -304,7 +304,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(rows)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(raw))], ["rep", "n", "key"])
 
     rows = sets.mapInArrow(explode, f"rep {kind}, n long, key long")
-    shared = cut(rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
+    shared = stored(rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
     met = join_skewed(rows, shared, ["key"], "df")
     order = Window.partitionBy("rep").orderBy("df", "key")
     # the n - count shingles that no other set has come first
@@ -316,53 +316,54 @@ def repeated(sets: DataFrame, classes: DataFrame, labels: DataFrame) -> tuple[Da
     """Labels after joining the classes that rows with one doc_id have, and (doc_id, comp) for the ids with several sets;
     None if there is no such id."""
     one = F.struct("s1", "s2", "n_shingles")
-    ids = cut(sets.where("doc_id is not null").groupBy("doc_id").agg(F.min(one).alias("_a"), F.max(one).alias("_b")).where("_a != _b").select("doc_id"))
+    ids = stored(sets.where("doc_id is not null").groupBy("doc_id").agg(F.min(one).alias("_a"), F.max(one).alias("_b")).where("_a != _b").select("doc_id"))
     n = ids.count()
     if not n:
         return None
     rows = sets.where("n_shingles > 0").join(lookup(ids, n <= BROADCAST_ROWS), "doc_id", "left_semi").select("doc_id", "s1", "s2", "n_shingles").distinct()
-    has = cut(rows.join(classes.select("s1", "s2", "n_shingles", "rep"), ["s1", "s2", "n_shingles"]).select("doc_id", "rep"))
+    has = stored(rows.join(classes.select("s1", "s2", "n_shingles", "rep"), ["s1", "s2", "n_shingles"]).select("doc_id", "rep"))
     fresh = has.select("rep").distinct().join(labels, "rep", "left_anti").select("rep", F.col("rep").alias("comp"))
-    labels = cut(labels.unionByName(fresh))
+    labels = stored(labels.unionByName(fresh))
     hubs = has.groupBy("doc_id").agg(F.min("rep").alias("a"))
-    links = cut(has.join(hubs, "doc_id").where("a != rep").select("a", F.col("rep").alias("b")).distinct())
-    labels = cut(merged(labels, links))
-    return labels, cut(hubs.join(labels, hubs["a"] == labels["rep"]).select("doc_id", "comp"))
+    links = stored(has.join(hubs, "doc_id").where("a != rep").select("a", F.col("rep").alias("b")).distinct())
+    labels = stored(merged(labels, links))
+    return labels, stored(hubs.join(labels, hubs["a"] == labels["rep"]).select("doc_id", "comp"))
 
 
 def labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """kx, ky, doc_id, n_shingles, comp (null for a document without shingles), component_id of every row."""
     docs = keyed(docs)
     m = tuples_for(percent / 100)
-    sets = cut(set_table(docs, k, m))
+    sets = stored(set_table(docs, k, m))
     some = sets.where("n_shingles > 0")
-    # rows with equal sets are a class, named by a number, whose text is that of its row with the least key
+    # rows with equal sets are a class, whose text is that of its row with the least key. Classes are numbered in the order
+    # of their least doc_id, as a bucket's first hub is its least number and originals mostly come before their copies
     classes = some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("least"), F.min("kx").alias("kx"), F.count("*").alias("n_rows"), F.first("tuples").alias("tuples"))
-    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()))
+    classes = stored(classes.orderBy(F.asc_nulls_last("least"), "s1", "s2").withColumn("rep", F.monotonically_increasing_id()))
     reps = classes.select("rep", F.col("n_shingles").alias("n"), "tuples")
-    first = cut(diagonal(reps, m))
-    linker = Linker(cut(first.select("rep", F.col("rep").alias("comp")).distinct()), percent)
+    first = stored(diagonal(reps, m))
+    linker = Linker(stored(first.select("rep", F.col("rep").alias("comp")).distinct()), percent)
     linker.star(first, full_sets(linker.labels.select("rep"), linker.small, classes, docs, k), F.col("rep"))
     second, large = tensored(reps, linker.labels, m, linker.small)
     ids = second.select("rep", "comp").unionByName(large)
-    ids = cut(ids.distinct())
+    ids = stored(ids.distinct())
     fresh = ids.join(lookup(linker.labels, linker.small), "rep", "left_anti")
-    linker.relabel(cut(linker.labels.unionByName(fresh)))
+    linker.relabel(stored(linker.labels.unionByName(fresh)))
     full = full_sets(ids.select("rep"), linker.small, classes, docs, k)
     linker.every_pair(second, full)
     if large.limit(1).count():
-        rare = cut(prefixes(full.join(large, "rep", "left_semi"), percent))
+        rare = stored(prefixes(full.join(large, "rep", "left_semi"), percent))
         linker.star(rare, full, F.xxhash64("key", "rep"))
         linker.every_pair(rare, full)
     again = repeated(sets, classes, linker.labels)
     if again:
         linker.relabel(again[0])
     placed = classes.select("s1", "s2", "n_shingles", "n_rows", "least", "rep").join(lookup(linker.labels, linker.small), "rep", "left")
-    placed = cut(placed.withColumn("comp", F.coalesce("comp", "rep")))
+    placed = stored(placed.withColumn("comp", F.coalesce("comp", "rep")))
     # only the components that are labelled can have several classes
     least = linker.labels.join(placed.select("rep", "least"), "rep").groupBy("comp").agg(F.min("least").alias("lead"))
     named = placed.join(lookup(least, linker.small), "comp", "left").withColumn("component_id", F.coalesce("lead", "least"))
-    named = cut(named.select("s1", "s2", "n_shingles", "n_rows", "comp", "component_id"))
+    named = stored(named.select("s1", "s2", "n_shingles", "n_rows", "comp", "component_id"))
     out = [*ROW, "doc_id", "n_shingles", "comp", "component_id"]
     member = join_skewed(some.drop("tuples"), named, ["s1", "s2", "n_shingles"], "n_rows").select(*out)
     alone = sets.where("n_shingles = 0").select(*ROW, "doc_id", "n_shingles")
@@ -384,10 +385,10 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def keep(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component, with all its columns: of the rows with its least doc_id (or without one, if none has an
     id) the one with the least key; of rows that agree in id and text any. Rows without words stay."""
-    rows = cut(labelled(docs, k, percent).where("n_shingles > 0").groupBy("comp", F.col("doc_id").isNull().alias("_no"), "doc_id", *ROW).agg(F.count("*").alias("n")))
+    rows = stored(labelled(docs, k, percent).where("n_shingles > 0").groupBy("comp", F.col("doc_id").isNull().alias("_no"), "doc_id", *ROW).agg(F.count("*").alias("n")))
     order = F.struct("_no", "doc_id", *ROW)
-    best = cut(rows.groupBy("comp").agg(F.min(order).alias("_best"), F.count("*").alias("_rows"), F.sum("n").alias("_all")).where("_all > 1"))
-    met = cut(join_skewed(rows, best, ["comp"], "_rows").select(*[F.col(c).alias(f"_{c}") for c in ROW], (order == F.col("_best")).alias("_stays"), "n"))
+    best = stored(rows.groupBy("comp").agg(F.min(order).alias("_best"), F.count("*").alias("_rows"), F.sum("n").alias("_all")).where("_all > 1"))
+    met = stored(join_skewed(rows, best, ["comp"], "_rows").select(*[F.col(c).alias(f"_{c}") for c in ROW], (order == F.col("_best")).alias("_stays"), "n"))
     gone = met.where("not _stays").select("_kx", "_ky").distinct()
     twice = met.where("_stays and n > 1").select("_kx", "_ky")
     names = [f"_row_{i}" for i in range(len(docs.columns))]
