@@ -1,6 +1,6 @@
 """Hashes and bloom-filter arithmetic as column expressions.
 
-Strings are hashed by UTF-16 code units in the diagnostics; these expressions agree for the basic plane.
+Strings are hashed by UTF-16 code units, of which a character beyond the basic plane has two.
 """
 
 from __future__ import annotations
@@ -16,9 +16,15 @@ DJB_START, DJB_FACTOR = 5381, 33
 BITS = 4294967295
 
 
+def code_units(text: Column) -> Column:
+    """The UTF-16 code units of a string, as numbers."""
+    digits = F.hex(F.encode(text, "UTF-16BE"))
+    places = F.when(F.length(digits) > 0, F.sequence(F.lit(1), F.length(digits), F.lit(4))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.conv(F.substring(digits, i, F.lit(4)), 16, 10).cast("long"))
+
+
 def _folded(text: Column, start: int, step) -> Column:
-    places = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, F.lit(start).cast("long"), lambda h, i: step(h, F.ascii(F.substring(text, i, F.lit(1)))))
+    return F.aggregate(code_units(text), F.lit(start).cast("long"), step)
 
 
 def fnv1a(text: Column) -> Column:

@@ -175,6 +175,20 @@ def hash_djb2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _names(spark, sf_dir).withColumn("hash", hashing.djb2(F.col("name")))
 
 
+WIDE_SQL = "n AS (SELECT n_name || chr(CAST(128512 + n_nationkey AS INTEGER)) || chr(233) || chr(CAST(65536 + n_nationkey AS INTEGER)) AS name FROM nation)"
+UNITS_SQL = "flatten([CASE WHEN ord(x) > 65535 THEN [55296 + (ord(x) - 65536) // 1024, 56320 + (ord(x) - 65536) % 1024] ELSE [ord(x)] END FOR x IN string_split(name, '') IF x <> ''])"
+
+
+@query(f"""WITH {WIDE_SQL}, u AS (SELECT name, [x::HUGEINT FOR x IN {UNITS_SQL}] AS units FROM n)
+SELECT name, CAST(list_reduce(list_prepend(2166136261::HUGEINT, units), lambda h, c: (xor(h::BIGINT, c::BIGINT)::HUGEINT * 16777619) % 4294967296) AS BIGINT) AS fnv1a,
+CAST(list_reduce(list_prepend(5381::HUGEINT, units), lambda h, c: (h * 33 + c) % 4294967296) AS BIGINT) AS djb2 FROM u""")
+def hash_beyond_the_basic_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with characters that are two UTF-16 units each."""
+    wide = lambda start: F.decode(F.unhex(F.lpad(F.hex(F.col("n_nationkey").cast("long") + start), 8, "0")), "UTF-32")
+    names = read_table(spark, sf_dir, "nation").select(F.concat("n_name", wide(128512), F.lit("\u00e9"), wide(65536)).alias("name"))
+    return names.select("name", hashing.fnv1a(F.col("name")).alias("fnv1a"), hashing.djb2(F.col("name")).alias("djb2"))
+
+
 @query(f"WITH {NAMES_SQL}, h AS (SELECT name, {FNV_SQL} AS a, {DJB_SQL} | 1 AS b FROM n) SELECT name, i, CAST((a + i * b) % 4294967296 % 958506 AS BIGINT) AS bit FROM h, range(7) AS r(i)")
 def bloom_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _names(spark, sf_dir)
@@ -622,3 +636,7 @@ def group_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def group_assignment_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retries.moves(*_groups(spark, sf_dir))
+
+
+# queries of other modules, which register themselves
+from tidemill.plans import lifecycles  # noqa: E402, F401
