@@ -204,3 +204,27 @@ def test_readers(spark, tmp_path):
     assert sorted(map(str, readers.read_commands(spark, str(tmp_path / "csv"), "csv").collect())) == sorted(map(str, df.collect()))
     with pytest.raises(ValueError, match="unknown format"):
         readers.read_commands(spark, "x", "xml")
+
+
+def test_dedupe_with_a_falling_clock(spark):
+    """Each message's time evicts the anchors of all keys, so a clock that falls can let a repeat through."""
+    from tidemill.operators import dedupe
+
+    rnd = random.Random(5)
+    log = [(1, 0, "A", "m1"), (2, 20, "B", "m2"), (3, 5, "A", "m3"), (4, 6, None, "m4")]
+    log += [(5 + i, rnd.randint(0, 60), rnd.choice("ABCDE"), f"n{i}") for i in range(300)]
+    anchors, want = {}, []
+    for seq, now, key, id_ in log:
+        if key is None:
+            want.append((seq, False, None))
+            continue
+        anchors = {k: v for k, v in anchors.items() if now - v[1] < 10}
+        want.append((seq, key in anchors, anchors[key][0] if key in anchors else None))
+        anchors.setdefault(key, (id_, now))
+    df = spark.createDataFrame(log, "seq long, now_ms long, dedupe_key string, id string").repartition(4)
+    assert dedupe.clock_falls(df) and not dedupe.clock_falls(df.where("seq < 3"))
+    got = sorted((r["seq"], r["duplicate"], r["original_id"]) for r in dedupe.windowed_any(df, 10).collect())
+    assert got == want and got[2] == (3, False, None)
+    rising = df.withColumn("now_ms", F.col("seq"))
+    assert not dedupe.clock_falls(rising)
+    assert sorted(map(tuple, dedupe.windowed_any(rising, 10).collect())) == sorted(map(tuple, dedupe.windowed(rising, 10).collect()))

@@ -3,7 +3,9 @@
 A message is a duplicate if its key's anchor is less than a window before it; else it is accepted and becomes the anchor.
 The recurrence runs along each key in order of seq. Two plans give it: `windowed` streams each key's sorted rows
 through a fold with one anchor as its state, whatever the key's size; `windowed_native` stays in the JVM for keys of
-bounded size.
+bounded size. Both need a clock that never falls along seq, as each message's time evicts the anchors of all keys; `windowed_any`
+checks that and, where the clock falls, folds the whole log in one order, which is the only one that then tells what
+was evicted when.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.config import Dedupe
+from tidemill.operators.folds import fold_sorted
 from tidemill.operators.machine import Seen
 from tidemill.session import ship
 
@@ -77,6 +80,45 @@ def windowed(log: DataFrame, window_ms: int) -> DataFrame:
     return keyed.mapInArrow(run, RESULT).unionByName(free)
 
 
+def clock_falls(log: DataFrame) -> bool:
+    """Whether now_ms is ever less than at an earlier seq, by (least seq, first, last, whether it falls) of each sorted part."""
+    ship(log.sparkSession)
+
+    def run(batches):
+        first = last = least = None
+        falls = False
+        for batch in batches:
+            ms = np.asarray(batch.column("now_ms"))
+            if len(ms):
+                falls |= bool((ms[1:] < ms[:-1]).any()) or (last is not None and ms[0] < last)
+                least, first, last = (batch.column("seq")[0].as_py(), int(ms[0]), int(ms[-1])) if first is None else (least, first, int(ms[-1]))
+        if first is not None:
+            yield pa.RecordBatch.from_pylist([{"seq": least, "first": first, "last": last, "falls": falls}])
+
+    spread = log.select("seq", "now_ms").repartitionByRange("seq").sortWithinPartitions("seq")
+    parts = sorted(spread.mapInArrow(run, "seq long, first long, last long, falls boolean").collect())
+    return any(p["falls"] for p in parts) or any(b["first"] < a["last"] for a, b in zip(parts, parts[1:], strict=False))
+
+
+def windowed_any(log: DataFrame, window_ms: int) -> DataFrame:
+    """`windowed`, whatever the clock does: a log whose clock falls is folded in one task, with only the anchors as its state."""
+    if not clock_falls(log):
+        return windowed(log, window_ms)
+    rows = log.select("seq", "now_ms", "dedupe_key", F.col("id").cast("string").alias("id"), F.lit(0).alias("all"))
+
+    def step(seen: Seen, row: dict):
+        out = {c: row[c] for c in ("seq", "now_ms", "dedupe_key", "id")}
+        if row["dedupe_key"] is None:
+            yield out | {"duplicate": False, "original_id": None, "original_age_ms": None, "anchor_ms": None}
+            return
+        duplicate, original, age, _ = seen.check(row["dedupe_key"], row["id"], row["now_ms"])
+        yield out | {"duplicate": duplicate, "original_id": original, "original_age_ms": age, "anchor_ms": row["now_ms"] - (age or 0)}
+
+    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    arrow = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in RESULT.split(", ")])
+    return fold_sorted(rows, "all", ["seq"], lambda _: Seen(Dedupe(window_ms)), step, RESULT, lambda out: pa.RecordBatch.from_pylist(out, arrow))
+
+
 def windowed_native(log: DataFrame, window_ms: int) -> DataFrame:
     """The same in one JVM expression a key: sort, fold, explode. For keys of at most some thousand rows, as appending to
     the fold's array is quadratic in a key's rows."""
