@@ -174,10 +174,17 @@ DECISIVE = {
     "Unlicense": ["unlicense", "unencumbered public domain"],
     "Zlib": ["zlib", "altered misrepresented origin"],
 }
-HEADER_WORD = re.compile(r"licen[cs]e|copyright|spdx|rights reserved|cc0|redistribution|permission|unencumbered|proprietary|provided 'as-is'", re.I)
+#: What makes a line the beginning of a header, in small letters.
+HEADER_WORDS = ("licence", "license", "copyright", "spdx", "rights reserved", "cc0", "redistribution", "permission", "unencumbered", "proprietary", "provided 'as-is'")
 FILE_NAME = r"(?i)^(?:un)?(?:licen[cs]e|copying|notice)(?:[.-][\w.-]*)?$"
 
 
+def headed(text: str) -> bool:
+    """Whether a text has a licence word."""
+    text = text.lower()
+    return any(w in text for w in HEADER_WORDS)
+
+
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -226,13 +233,13 @@ class Templates:
     def header(self, text: str, threshold: float = THRESHOLD) -> tuple[float, str | None, str | None]:
         """The best header's cosine, licence and first line. A decided licence goes before an unknown one."""
         found: tuple[float, str | None, str | None] = (0.0, None, None)
-        if not HEADER_WORD.search(text):
+        if not headed(text):
             return found
         lines = text.split("\n")
         of = [words(x) for x in lines]
         seen: dict[tuple[str, ...], tuple[float, str | None]] = {}
         for i, line in enumerate(lines):
-            if not of[i] or not HEADER_WORD.search(line):
+            if not of[i] or not headed(line):
                 continue
             windows, ahead, j = [of[i]], list(of[i]), i
             for size in WINDOWS:
