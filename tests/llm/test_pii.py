@@ -88,7 +88,7 @@ def brute_spans(rows):
         said = []
         for k, cs in kinds.items():
             free = lambda c, taken: not any(a < c[1] and c[0] < b for a, b in taken)
-            yes = lambda c, k=k: float(np.dot(weights[k], [*c[2], 1])) > 0
+            yes = lambda c, k=k: float(np.dot(weights[k], [*c[2], 1])) > np.log(9)
             taken = [c[:2] for c in cs if c[3]]
             taken = taken + [c[:2] for c in cs if c[2][0] and not c[3] and yes(c) and free(c, taken)]
             taken = taken + [c[:2] for c in cs if not c[2][0] and yes(c) and free(c, taken)]

@@ -60,6 +60,8 @@ CUES = {
 }
 LABELERS = ("shape", "check", "gazetteer", "cue", "border")
 CONTEXT = 40
+#: The probability from which on a candidate is added: a span that no rule vouches for needs more than a likely guess.
+ACCEPT = 0.9
 
 
 def digits(c: Column) -> Column:
@@ -216,10 +218,10 @@ def train(found_: DataFrame) -> dict[str, np.ndarray]:
 
 
 def accepted(weights: np.ndarray | None, x: Column) -> Column:
-    """Whether the classifier gives a candidate a probability of over a half."""
+    """Whether the classifier gives a candidate a probability of over `ACCEPT`."""
     if weights is None:
         return F.lit(False)
-    return functools.reduce(lambda a, b: a + b, [F.when(x[v], F.lit(float(w))).otherwise(F.lit(0.0)) for v, w in zip(LABELERS, weights, strict=False)], F.lit(float(weights[-1]))) > 0
+    return functools.reduce(lambda a, b: a + b, [F.when(x[v], F.lit(float(w))).otherwise(F.lit(0.0)) for v, w in zip(LABELERS, weights, strict=False)], F.lit(float(weights[-1]))) > float(np.log(ACCEPT / (1 - ACCEPT)))
 
 
 def overlaps(x: Column, others: Column) -> Column:
